@@ -52,7 +52,7 @@ def _cut(b: TextBatch, row: int, words: tuple[np.ndarray, np.ndarray], limit: in
     sentence = np.flatnonzero(stop[:-1] & ((b.cls[starts[1:]] & UPPER) != 0)) + 1
     if len(sentence):
         word = lambda i: b.codes[starts[i] : last[i] + 1].tobytes().decode("utf-32-le", "replace").lower().lstrip("([{\"'“‘«")
-        sentence = np.array([i for i in sentence if not ((w := word(i - 1)) in _ABBREVIATIONS or (len(w) == 2 and w[0].isalpha() and w[1] == "."))], np.int64)
+        sentence = np.array([i for i in sentence if word(i - 1) not in _ABBREVIATIONS], np.int64)
     out, done = [], 0
     while done < n:
         first = max(0, done - overlap) if done else 0
