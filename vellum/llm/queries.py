@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fusion, quality, splitting
+from ..operators.graph import components
+from . import fusion, neardup, packing, quality, splitting, tokens, truncation, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +37,44 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "parent_chunks"), "parent_id", "content")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text_stats, p2_found, p3_found)}
+RECORD = ["section_heading", "content"]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link, members = neardup.links(table(spark, sf_dir, "chunks"), "chunk_ord", RECORD)
+    return neardup.expanded(link, members).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk with its class of equal records, the number of links of that class, and its group."""
+    link, members = neardup.links(table(spark, sf_dir, "chunks"), "chunk_ord", RECORD)
+    group = components(link).select(F.col("id").alias("sig"), F.col("component").alias("group_id"))
+    n = link.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(n, "sig", "left").join(group, "sig", "left").select(F.col("id").alias("chunk_ord"), F.col("sig").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "sig").alias("group_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.nearest(table(spark, sf_dir, "chunk_vectors"))
+    return vectors.neighbour_pairs(near).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_ids(table(spark, sf_dir, "documents"))
+
+
+def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.source_rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text_stats, p2_found, p3_found, p4_found, p4_groups, p5_found, p7_ids, p8_packed, p9_found, p9_source_rates)}
 
 P2_SQL = f"""
 WITH h AS (
