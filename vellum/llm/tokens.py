@@ -127,7 +127,8 @@ class Bpe:
             going = ~bad & ~(whole_x & whole_y)
             px, py = going & split_x, going & ~split_x
             limit[at[px]], a[at[px]] = x[px], self.right[x[px]]
-            limit[at[py]], b[at[py]] = y[py], self.left[y[py]]
+            # of equal ranks the leftmost merges first: a merge across the boundary goes before the one undone to its right
+            limit[at[py]], b[at[py]] = y[py] + 1, self.left[y[py]]
             at = at[going]
         return ok
 
