@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there; no ``localCheckpoint``."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
+
+    They go when the driver's JVM collects its garbage, which a mostly idle driver may not do for long; after a cut
+    their rows are in the shared folder.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
