@@ -3,7 +3,7 @@
 A record is the set of hashes of its sequences of three successive words. If two sets are similar enough, then
 under any global order of the tokens their prefixes share a token. The first order puts rare tokens first; each
 class of equal sets posts the tokens of its prefix that occur elsewhere, a join on the token with length,
-position and 128-bit parity filters gives candidates. The second order (magnitude of the frequency, then another
+position and 128-bit parity filters gives candidates, which 512-bit parities thin out. The second order (magnitude of the frequency, then another
 hash) is indexed over the classes that are still candidates, and only pairs that both orders give are verified on
 the full sets.
 
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut
+from ..plans.durable import cut, sweep
 from . import sketch
 from .textkit import DIGIT, LETTER, TextBatch, map_texts, mix
 
 #: Copies of one record up to which all their pairs are written out; beyond it each copy is paired with the representative.
 EXPAND = 1000
+#: Words of 64 bits of the parities that thin out the candidates.
+PARITY = 8
 #: Rows below which a side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -91,6 +93,14 @@ def signatures(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix(_reduce(np.add, mix(tokens + np.uint64(1)), n) + n.astype(np.uint64)).view(np.int64)
 
 
+def parities(row: np.ndarray, tokens: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Per row the parity of its tokens in each of 64 * ``words`` classes; two sets differ in at least as many tokens as bits."""
+    bit = (mix(tokens) & np.uint64(64 * words - 1)).astype(np.int64)
+    out = np.zeros(rows * words, np.uint64)
+    np.bitwise_xor.at(out, row * words + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(rows, words)
+
+
 def _prefix(row: np.ndarray, tokens: np.ndarray, n: np.ndarray, rank: np.ndarray, salt: int, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the tokens in each row's prefix under the order (rank, salted hash), and their positions."""
     with np.errstate(over="ignore"):
@@ -107,24 +117,26 @@ def _words(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
 
 
 def _survey(rows: DataFrame, spec: Spec) -> DataFrame:
-    """One pass: (sig, id) of every record, and the blocks of the frequency sketch of each task."""
+    """One pass: (sig, id, n, parity) of every record, and the blocks of the frequency sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << spec.sketch_bits, np.uint8)
         mask = np.uint64((1 << spec.sketch_bits) - 1)
 
         def one(part: pa.RecordBatch, b: TextBatch) -> pa.RecordBatch:
-            _, tokens, n = token_sets(b, spec)
+            row, tokens, n = token_sets(b, spec)
             sketch.add(table, (tokens & mask).astype(np.int64))
             some = n > 0
             ids = part.column("id").filter(pa.array(some))
-            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), pa.array(signatures(tokens, n)[some]), ids], names=["block", "data", "sig", "id"])
+            parity = pa.array([x.tobytes() for x in parities(row, tokens, b.size, PARITY)[some]], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), parity, pa.array(signatures(tokens, n)[some]), ids, pa.array(n[some].astype(np.int32))], names=names)
 
         yield from map_texts("t", one)(batches)
         for i, data in sketch.blocks(table):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["block", "data", "sig", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=names)
 
-    return rows.mapInArrow(run, "block int, data binary, sig long, id long")
+    names = ["block", "data", "sig", "id", "n"]
+    return rows.mapInArrow(run, "block int, data binary, sig long, id long, n int")
 
 
 def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
@@ -147,10 +159,7 @@ def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
             at, pos = _prefix(row, tokens, n, df, 0, spec.per_mille)
             keep = (df[at] > 1) & new[row[at]]
             at, pos = at[keep], pos[keep]
-            bit = mix(tokens) & np.uint64(127)
-            one_bit = np.uint64(1) << (bit & np.uint64(63))
-            low = _reduce(np.bitwise_xor, np.where(bit < 64, one_bit, np.uint64(0)), n).view(np.int64)
-            high = _reduce(np.bitwise_xor, np.where(bit >= 64, one_bit, np.uint64(0)), n).view(np.int64)
+            low, high = parities(row, tokens, b.size, 2).view(np.int64).T
             r = row[at]
             token = (tokens[at] >> np.uint64(20)).astype(np.uint32).view(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, sig[r], n[r].astype(np.int32), pos.astype(np.int32), low[r], high[r])], names=["token", "sig", "n", "pos", "b0", "b1"])
@@ -170,6 +179,24 @@ def _candidates(postings: DataFrame, spec: Spec, parity: bool) -> DataFrame:
     return x.join(y, F.expr(f"x.token = y.token AND {where}")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
+def _thinned(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs whose long parities differ in no more bits than the threshold leaves tokens to differ in."""
+    t = spec.per_mille
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY) for c in ("x", "y"))
+                total = np.asarray(batch.column("n")).astype(np.int64)
+                keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total - 2 * ((t * total + 999 + t) // (1000 + t)))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    c = classes.select("sig", "n", "parity")
+    x = pairs.join(c.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x")), "a")
+    both = x.join(c.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y")), "b")
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _records(rows: DataFrame, ids: DataFrame, spec: Spec, frequencies) -> DataFrame:
     """(sig, tokens, prefix, pos) of the named records; ``prefix`` is that under the second order."""
 
@@ -224,17 +251,23 @@ def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tup
     """Links between classes of equal records (a, b, similarity), and the membership (sig, id) of all that take part."""
     rows = _words(df, key, texts)
     survey = cut(_survey(rows, spec))
-    frequencies = df.sparkSession.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), spec.sketch_bits))
+    spark = df.sparkSession
+    frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), spec.sketch_bits))
     members = survey.where("sig is not null").select("sig", "id").distinct()
-    first = members.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    copies = members.join(first.where("copies > 1").select("sig", F.col("id").alias("first")), "sig").where("id <> first").select("id")
+    taking_part = survey.where("sig is not null").groupBy("sig", "id").agg(F.min("data").alias("parity"), F.min("n").alias("n"))
+    classes = taking_part.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("parity").alias("parity"), F.min("n").alias("n"))
+    copies = members.join(classes.where("copies > 1").select("sig", F.col("id").alias("first")), "sig").where("id <> first").select("id")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     singles = rows.join(F.broadcast(copies) if few else copies, "id", "left_anti")
     pairs = cut(_candidates(_postings(singles, spec, frequencies), spec, parity=True))
-    left = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(first.select("sig", "id"), "sig")
+    sweep(spark)
+    pairs = cut(_thinned(pairs, classes, spec))
+    sweep(spark)
+    left = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "id"), "sig")
     records = cut(_records(_only(rows, left), left, spec, frequencies))
     second = records.select("sig", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("token"), "sig", "n", F.col("p.pos").alias("pos"))
-    both = pairs.join(_candidates(second, spec, parity=False), ["a", "b"])
+    both = cut(pairs.join(_candidates(second, spec, parity=False), ["a", "b"]))
+    sweep(spark)
     return _verify(both, records, spec), members
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from . import fusion, neardup, packing, quality, splitting, tokens, truncation, vectors
+from . import fusion, neardup, packing, quality, scans, splitting, tokens, truncation, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbour_pairs(near).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    rules = quality.fit_rules(chunks, table(spark, sf_dir, "chunk_labels"), "chunk_ord", "content")
+    return scans.repairs(chunks, rules)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -74,7 +80,7 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text_stats, p2_found, p3_found, p4_found, p4_groups, p5_found, p7_ids, p8_packed, p9_found, p9_source_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text_stats, p2_found, p3_found, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_packed, p9_found, p9_source_rates)}
 
 P2_SQL = f"""
 WITH h AS (
