@@ -76,8 +76,6 @@ def _measured(df: DataFrame, key: str, text_col: str, path: str) -> DataFrame:
     vocabulary = tokens._broadcast(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         from .textkit import pieces
 
         bpe = tokens.shared(vocabulary)

@@ -134,7 +134,6 @@ def _common() -> np.ndarray:
 @F.arrow_udf(STATS_TYPE)
 def text_stats(texts: pa.Array) -> pa.Array:
     """``struct`` of doubles in the order of ``FEATURES``; null for null and blank text."""
-    import pyarrow.compute  # noqa: F401
 
     done = [_arrow_stats(p) for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
     return pa.concat_arrays(done) if done else pa.array([], pa.struct([(k, pa.float64()) for k in FEATURES]))

@@ -45,6 +45,7 @@ _LIGATURES = str.maketrans(LIGATURES)
 _FOLD = str.maketrans({"1": "i", "l": "i", "|": "i", "0": "o", "a": "o", "4": "o", "5": "s", "e": "c", "t": "f", "6": "b", "h": "b", "v": "u", "y": "u", "q": "g", "2": "z", "8": "b", "9": "g"})
 _TOKEN = re.compile(r"[^\W_]+")
 _PAGE = re.compile(r"\W*(?:p(?:age|\.|g\.)?\s*)?(?:\d{1,4}|[ivxlc]{1,6})(?:\s*(?:-|–|/|of)\s*\d{1,4})?\W*", re.I)
+_DIGIT_LIKE = str.maketrans("lI|iOoSsBZz", "11110055822")
 _BREAK = re.compile(r"([^\W_]+(?:[-‐'’][^\W_]+)*)[-‐‑¬\xad]\s*$")
 _FIRST = re.compile(r"\s*[\"'“‘(\[]?([^\W_]+(?:[-‐'’][^\W_]+)*)")
 _WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
@@ -60,6 +61,14 @@ def folded(line: str) -> str:
     return " ".join(out)
 
 
+def is_page_number(line: str) -> bool:
+    """A number in the usual dress alone on its line; letters that pass for digits are read as such beside a digit."""
+    t = line.strip()
+    if _PAGE.fullmatch(t):
+        return True
+    return len(t) < 12 and any(map(str.isdigit, t)) and _PAGE.fullmatch(t.translate(_DIGIT_LIKE)) is not None
+
+
 def _line_hash(keys: list[str]) -> list[int]:
     b = TextBatch(keys)
     return mix(b.hashes(b.off[:-1], b.off[1:] - 1)).view(np.int64).tolist()
@@ -183,7 +192,7 @@ def _sites(pages: DataFrame) -> DataFrame:
                 for i, (line, h) in enumerate(zip(lines, hashes, strict=True), 1):
                     if not line.strip():
                         continue
-                    if (len(line) < 120 and h in heads) or _PAGE.fullmatch(line.strip()):
+                    if (len(line) < 120 and h in heads) or is_page_number(line):
                         rows.append((key, i, "edge", "", None))
                     else:
                         body.append((i, line))

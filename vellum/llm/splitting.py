@@ -103,8 +103,6 @@ def split_oversized(
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in pieces(batch, "t"):
                 cuts = split_batch(part.column("t").to_pylist(), limit, overlap, keep_small, max_word_chars)

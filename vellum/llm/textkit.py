@@ -13,6 +13,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTER, DIGIT, BLANK, BREAK, UPPER, LOWER, STOP, CLOSE = (1 << i for i in range(8))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +143,7 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, text_col: str, chars: int = 2_000_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batch in slices of a bounded number of rows and characters (a longer text is a slice of its own)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0))
     begin = total = 0
     for i, n in enumerate(size):
         if i > begin and (total + n > chars or i - begin >= rows):
@@ -157,8 +158,6 @@ def map_texts(text_col: str, f: Callable[[pa.RecordBatch, TextBatch], pa.RecordB
     """A function for ``mapInArrow`` that applies ``f`` to slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in pieces(batch, text_col, rows=rows):
                 out = f(part, TextBatch(part.column(text_col).to_pylist()))

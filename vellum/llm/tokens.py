@@ -192,8 +192,6 @@ def encoded(df: DataFrame, key: str, text_col: str, path: str = VOCABULARY) -> D
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         from .textkit import pieces
 
         bpe = shared(vocabulary)

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +59,10 @@ def fit_coder(x: np.ndarray, bits: int = 64, rounds: int = 20, seed: int = 11) -
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable rows, and which rows those are."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     whole = lengths == dim
-    flat = pa.compute.list_flatten(column.filter(pa.array(whole)))
-    x = np.asarray(pa.compute.fill_null(flat, float("nan")).cast(pa.float64())).reshape(-1, dim)
+    flat = pc.list_flatten(column.filter(pa.array(whole)))
+    x = np.asarray(pc.fill_null(flat, float("nan")).cast(pa.float64())).reshape(-1, dim)
     norm = np.sqrt((x * x).sum(axis=1))
     good = np.isfinite(norm) & (norm > 0)
     ok = np.flatnonzero(whole)[good]
@@ -72,8 +73,6 @@ def unit_vectors(df: DataFrame, key: str, vec_col: str, dim: int) -> DataFrame:
     """(id, vec): usable vectors scaled to length 1, as float32 bytes; one row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             x, ok = _unit(batch.column("v"), dim)
             raw = pa.py_buffer(np.ascontiguousarray(x).tobytes())
