@@ -164,14 +164,13 @@ def heading_as_of(chunks: DataFrame, heads: DataFrame, use_offset: bool = False)
     Headings and chunks go through one sorted window per document; ``use_offset`` takes the chunk's own offset
     instead of 0.
     """
-    key = "__key"
-    c = chunks.withColumn(key, F.monotonically_increasing_id())
+    rest = chunks.drop("section_heading")
     at = F.coalesce("start_char", F.lit(0)) if use_offset else F.lit(0)
-    points = c.select("doc_id", "page", at.alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("ord"), key)
-    marks = heads.select("doc_id", "page", F.col("char_offset").alias("at"), F.lit(0).alias("side"), "label", "ord", F.lit(None).cast("long").alias(key))
+    points = rest.select("doc_id", "page", at.alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("ord"), F.struct(*rest.columns).alias("row"))
+    marks = heads.select("doc_id", "page", F.col("char_offset").alias("at"), F.lit(0).alias("side"), "label", "ord", F.lit(None).cast(points.schema["row"].dataType).alias("row"))
     w = Window.partitionBy("doc_id").orderBy("page", "at", "side", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    got = points.unionByName(marks).withColumn("section_heading", F.coalesce(F.last("label", ignorenulls=True).over(w), F.lit(""))).where(f"{key} is not null")
-    return c.drop("section_heading").join(got.select(key, "section_heading"), key).drop(key)
+    got = points.unionByName(marks).withColumn("section_heading", F.coalesce(F.last("label", ignorenulls=True).over(w), F.lit("")))
+    return got.where("row is not null").select("row.*", "section_heading")
 
 
 def nearest_caption(items: DataFrame, caps: DataFrame, kind: str, reach: int = 1, by_offset: bool = True) -> DataFrame:
