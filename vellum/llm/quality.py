@@ -264,9 +264,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text_col: str, label
     )
     got = (
         docs.select(F.col(key).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
-        .select("k", "y", text_stats(F.col("t")).alias("s")).where("s is not null").select("k", "y", "s.*").toPandas()
+        .select("k", "y", text_stats(F.col("t")).alias("s")).select("k", "y", "s.*").toPandas()
     )
-    got = got.drop_duplicates("k").sort_values("k")
+    # blank texts are dropped here: as a filter, Spark would measure all documents before the join
+    got = got.dropna().drop_duplicates("k").sort_values("k")
     if got.empty or got.y.nunique() < 2:
         return RuleList(())
     return induce_rules(got[list(FEATURES)].to_numpy(), got.y.to_numpy() == 1)
