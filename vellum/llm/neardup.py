@@ -140,7 +140,7 @@ def _survey(rows: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
-    """(token, sig, n, pos, b0, b1) of each class's prefix under the first order, without tokens that occur once."""
+    """(token, sig, n, pos, b0, b1) of each class's prefix (its id as sig) under the first order, without tokens that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequencies.value
@@ -161,8 +161,9 @@ def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
             at, pos = at[keep], pos[keep]
             low, high = parities(row, tokens, b.size, 2).view(np.int64).T
             r = row[at]
+            ids = np.asarray(part.column("id")).astype(np.int64)
             token = (tokens[at] >> np.uint64(20)).astype(np.uint32).view(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, sig[r], n[r].astype(np.int32), pos.astype(np.int32), low[r], high[r])], names=["token", "sig", "n", "pos", "b0", "b1"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids[r], n[r].astype(np.int32), pos.astype(np.int32), low[r], high[r])], names=["token", "sig", "n", "pos", "b0", "b1"])
 
         yield from map_texts("t", one)(batches)
 
@@ -248,22 +249,27 @@ def _verify(pairs: DataFrame, records: DataFrame, spec: Spec) -> DataFrame:
 
 
 def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal records (a, b, similarity), and the membership (sig, id) of all that take part."""
+    """Links between classes of equal records (a, b, similarity), and the membership (sig, id) of all that take part.
+
+    A class is named by its lowest id.
+    """
     rows = _words(df, key, texts)
     survey = cut(_survey(rows, spec))
     spark = df.sparkSession
     frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), spec.sketch_bits))
-    members = survey.where("sig is not null").select("sig", "id").distinct()
-    taking_part = survey.where("sig is not null").groupBy("sig", "id").agg(F.min("data").alias("parity"), F.min("n").alias("n"))
-    classes = taking_part.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("parity").alias("parity"), F.min("n").alias("n"))
-    copies = members.join(classes.where("copies > 1").select("sig", F.col("id").alias("first")), "sig").where("id <> first").select("id")
+    # a class of equal sets goes by its lowest id from here on
+    equal = survey.where("sig is not null").select(F.col("sig").alias("same"), "id").distinct()
+    low = equal.groupBy("same").agg(F.min("id").alias("sig"))
+    members = equal.join(low, "same").select("sig", "id")
+    classes = survey.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.min("data").alias("parity"), F.min("n").alias("n")).select(F.col("id").alias("sig"), "parity", "n")
+    copies = members.where("id <> sig").select("id")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     singles = rows.join(F.broadcast(copies) if few else copies, "id", "left_anti")
     pairs = cut(_candidates(_postings(singles, spec, frequencies), spec, parity=True))
     sweep(spark)
     pairs = cut(_thinned(pairs, classes, spec))
     sweep(spark)
-    left = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "id"), "sig")
+    left = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().select(F.col("sig").alias("id"), "sig")
     records = cut(_records(_only(rows, left), left, spec, frequencies))
     second = records.select("sig", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("token"), "sig", "n", F.col("p.pos").alias("pos"))
     both = cut(pairs.join(_candidates(second, spec, parity=False), ["a", "b"]))
@@ -297,9 +303,8 @@ def expanded(link: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFr
 
     A class of more than ``limit`` copies is written as pairs with its lowest id, through which the rest follows.
     """
-    size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    m = members.join(size, "sig")
-    ends: Column = (F.col("copies") <= limit) | (F.col("id") == F.col("first"))
+    m = members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "sig")
+    ends: Column = (F.col("copies") <= limit) | (F.col("id") == F.col("sig"))
     end = m.where(ends).select("sig", "id")
     across = (
         link.join(end.select(F.col("sig").alias("a"), F.col("id").alias("x")), "a").join(end.select(F.col("sig").alias("b"), F.col("id").alias("y")), "b")
