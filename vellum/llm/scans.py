@@ -178,10 +178,15 @@ def corrections(lex: DataFrame, ratio: int = 300, least: int = 3) -> DataFrame:
     return near.groupBy("word").agg(F.min(best).alias("b")).select("word", F.col("b.f").alias("fix"))
 
 
-def _sites(pages: DataFrame) -> DataFrame:
-    """(id, line_no, kind, word, hyphened) of (id, t, lines): furniture, words broken over lines, other words."""
+def _sites(pages: DataFrame, suspects) -> DataFrame:
+    """(id, line_no, kind, word, hyphened) of (id, t, lines): furniture, words broken over lines, words to correct.
+
+    ``suspects`` is a broadcast set of the words that have a correction, or None if they are too many; then all words
+    come out and the join with the corrections decides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrong = suspects.value if suspects else None
         for batch in batches:
             rows: list[tuple] = []
             for key, text, known in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "lines")), strict=True):
@@ -206,7 +211,8 @@ def _sites(pages: DataFrame) -> DataFrame:
                     for w in set(_WORD.findall(line[skip:end])):
                         if not w.isdigit() and not _CODE.fullmatch(w):
                             low = w.lower().replace("‐", "-").replace("‑", "-")
-                            rows.append((key, i, "word", low, None))
+                            if wrong is None or low in wrong or "-" in low and not wrong.isdisjoint(low.split("-")):
+                                rows.append((key, i, "word", low, None))
                     skip = follow or 0
             if rows:
                 c = list(zip(*rows, strict=True))
@@ -230,7 +236,9 @@ def repairs(chunks: DataFrame, rules: quality.RuleList, key: str = "chunk_ord",
     fixes = cut(corrections(lex))
     prose = quality.classify_prose(rows.where("scan"), rules, "t").where("is_prose = 1").select("id", "doc", "t")
     pages = prose.join(_sized(furniture(survey)), "doc", "left").select("id", "t", "lines")
-    sites = cut(_sites(pages).distinct())
+    few = fixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    suspects = chunks.sparkSession.sparkContext.broadcast(frozenset(r.word for r in fixes.select("word").toLocalIterator())) if few else None
+    sites = cut(_sites(pages, suspects).distinct())
     edge = sites.where("kind = 'edge'").select("id", "line_no", F.lit("").alias("fix"))
 
     # a compound is put right part by part
