@@ -77,6 +77,8 @@ def form_of_end(text: str) -> tuple[str, str, str]:
             return "open", word, opening
     if _ends_sentence(last):
         return "whole", word, opening
+    if last.endswith(".") and len(tokens) > 1:  # an abbreviation or a number ends no sentence
+        return "open", word, opening
     if last.endswith((",", "(", "/")) or (last.endswith("-") and not last.endswith("--")):
         return "open", word, opening
     earlier = lines[:-1]
@@ -210,7 +212,7 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
 
     # lengths in characters and in bytes at which a source's texts stop open far more often than at those around
     sizes = F.explode(F.array(F.struct(F.lit("n").alias("unit"), F.col("n").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size"))))
-    openly = ends.where("verdict <> 'whole'").select("source", sizes.alias("s")).groupBy("source", "s.unit", "s.size").agg(F.count(F.lit(1)).alias("c"))
+    openly = ends.where("verdict in ('open', 'sentence')").select("source", sizes.alias("s")).groupBy("source", "s.unit", "s.size").agg(F.count(F.lit(1)).alias("c"))
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-10, 10)
     spikes = openly.withColumn("around", F.sum("c").over(near) - F.col("c")).where(f"c >= {least_spike} and c >= around")
     limit = lambda unit: spikes.where(F.col("unit") == unit).select(F.coalesce("source", F.lit("")).alias("of"), F.col("size").alias(unit), F.lit(True).alias(f"limit_{unit}"))
@@ -225,7 +227,7 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
     open_end = F.col("verdict") != "whole"
     truncated = (F.col("verdict") == "open") & ~(flag("signoff") & ~flag("fragment"))
     truncated |= (F.col("verdict") == "sentence") & ~flag("signoff")
-    truncated |= open_end & (flag("fragment") | flag("limit") | flag("copy"))
+    truncated |= open_end & (flag("fragment") | ((flag("limit") | flag("copy")) & ~flag("signoff")))
     return e.select("doc", "source", "n", truncated.alias("truncated"), (flag("limit") & open_end).alias("at_limit"), flag("copy").alias("in_copy"), "verdict")
 
 
