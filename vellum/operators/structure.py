@@ -161,16 +161,20 @@ def captions(pages: DataFrame) -> DataFrame:
 def heading_as_of(chunks: DataFrame, heads: DataFrame, use_offset: bool = False) -> DataFrame:
     """section_heading of (doc_id, page, start_char, ...): the last heading before the page, or on it up to the offset.
 
-    Headings and chunks go through one sorted window per document; ``use_offset`` takes the chunk's own offset
-    instead of 0.
+    The window runs over a document's pages, not its chunks; chunks then meet their page in an equi-join, so a document
+    that holds most of the chunks is no single task. ``use_offset`` takes the chunk's own offset instead of 0.
     """
     rest = chunks.drop("section_heading")
+    on = ["doc_id", "page"]
+    marks = heads.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("char_offset", "ord", "label"))).alias("__heads"))
+    pages = rest.select(*on).union(marks.select(*on)).distinct().join(marks, on, "left")
+    w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.element_at("__heads", -1)["label"], ignorenulls=True).over(w)
     at = F.coalesce("start_char", F.lit(0)) if use_offset else F.lit(0)
-    points = rest.select("doc_id", "page", at.alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("ord"), F.struct(*rest.columns).alias("row"))
-    marks = heads.select("doc_id", "page", F.col("char_offset").alias("at"), F.lit(0).alias("side"), "label", "ord", F.lit(None).cast(points.schema["row"].dataType).alias("row"))
-    w = Window.partitionBy("doc_id").orderBy("page", "at", "side", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    got = points.unionByName(marks).withColumn("section_heading", F.coalesce(F.last("label", ignorenulls=True).over(w), F.lit("")))
-    return got.where("row is not null").select("row.*", "section_heading")
+    here = F.filter("__heads", lambda h: h["char_offset"] <= at)
+    label = F.when(F.size(here) > 0, F.element_at(here, -1)["label"])
+    got = rest.join(pages.select(*on, "__heads", before.alias("__before")), on, "left")
+    return got.select(*rest.columns, F.coalesce(label, "__before", F.lit("")).alias("section_heading"))
 
 
 def nearest_caption(items: DataFrame, caps: DataFrame, kind: str, reach: int = 1, by_offset: bool = True) -> DataFrame:
