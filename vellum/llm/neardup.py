@@ -264,6 +264,7 @@ def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tup
     classes = survey.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.min("data").alias("parity"), F.min("n").alias("n")).select(F.col("id").alias("sig"), "parity", "n")
     copies = members.where("id <> sig").select("id")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sweep(spark)
     singles = rows.join(F.broadcast(copies) if few else copies, "id", "left_anti")
     pairs = cut(_candidates(_postings(singles, spec, frequencies), spec, parity=True))
     sweep(spark)

@@ -34,6 +34,8 @@ _INNER_STOP = re.compile(r"(\S+?)[.!?][\"'”’»)\]]*\s+(?=\S)")
 _LOG = re.compile(r"\d{1,2}[:.]\d\d\s")
 _ENTRY = re.compile(r"(?:[-*•–▪◦·]|\[.?\]|\(?\w{1,3}[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Length of a sign-off line at most; only lines after others can be one.
+SIGNOFF = 60
 #: Letters by which a last word meets the words that it may begin.
 KEY = 2
 
@@ -45,6 +47,10 @@ def _ends_sentence(line: str) -> bool:
     return not (word in _ABBREVIATED or re.fullmatch(r"\d+\.", word))
 
 
+def _opening(line: str) -> str:
+    return " ".join(re.sub(r"\d+", "9", x) for x in line.split(None, 2)[:2])
+
+
 def _columns(line: str, mark: str) -> int:
     return line.count(mark)
 
@@ -66,7 +72,7 @@ def form_of_end(text: str) -> tuple[str, str, str]:
     lines = [x.strip() for x in raw]
     last, tokens = lines[-1], lines[-1].split()
     word = m.group(0).lower() if (m := re.search(r"[^\W\d_]+$", last)) else ""
-    opening = " ".join(re.sub(r"\d+", "9", x) for x in tokens[:2])
+    opening = _opening(last) if len(lines) > 1 and len(last) <= SIGNOFF else ""
     if marked:
         return ("whole" if _ends_sentence(last) and not marked.group(0).startswith(("…", "�")) else "open"), word, opening
     if last.endswith(")") and "(" in last:
@@ -134,17 +140,16 @@ def _survey(docs: DataFrame) -> DataFrame:
                 if words:
                     words.pop()  # the last one may be cut
                 whole.update(words)
-                openings = [" ".join(re.sub(r"\d+", "9", x) for x in line.split(None, 2)[:2]) for line in re.split(r"\r\n?|\n", text.strip())]
-                final[openings[-1]] += 1
-                inner.update(openings[:-1])
+                lines = [x.strip() for x in re.split(r"\r\n?|\n", text) if x.strip()]
+                if len(lines) > 1 and len(lines[-1]) <= SIGNOFF:
+                    final[_opening(lines[-1])] += 1
+                inner.update(_opening(x) for x in lines[:-1])
                 rows.append(("end", doc, source, len(text), len(text.encode()), verdict, word, opening, None))
             if rows:
                 yield batch_of(rows)
         counts = [("word", None, None, None, None, None, w, None, c) for w, c in whole.items()]
-        counts += [("final", None, None, None, None, None, None, o, c) for o, c in final.items() if len(o) <= 60]
-        counts += [("inner", None, None, None, None, None, None, o, inner[o]) for o in final if o in inner and len(o) <= 60]
-        # openings that this task has only inside of texts matter if another task has them last
-        counts += [("inner", None, None, None, None, None, None, o, c) for o, c in inner.items() if o not in final and len(o) <= 60]
+        counts += [("final", None, None, None, None, None, None, o, c) for o, c in final.items()]
+        counts += [("inner", None, None, None, None, None, None, o, c) for o, c in inner.items() if len(o) <= SIGNOFF]
         for i in range(0, len(counts), 10_000):
             yield batch_of(counts[i : i + 10_000])
 
