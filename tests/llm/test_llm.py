@@ -285,6 +285,20 @@ def test_truncation(spark):
     assert truncation.truncated_ids(df.limit(0)).count() == 0
 
 
+def test_stumps_of_last_lines_are_no_sign_offs(spark):
+    body = "The valve in the hall must be opened by the welder before the governor is cleaned"
+    rows = [(i, "a", f"{body} {i} times.\nThe") for i in range(40, 60)]  # stumps alone: they come last as often as a sign-off
+    rows += [(100 + i, "a", f"{body} {i} times.\nSigned: the auditor on duty") for i in range(40)]
+    long = f"{body} and before the separator is replaced by the auditor on duty."
+    rows += [(200 + i, "b", f"{body} {i} and the {'x' * 40} and the {'y' * 60} and the"[:160] + " and the") for i in range(6)]
+    for i, last in ((300, "Signed: the auditor on"), (301, "Signed: the auditor on duty")):
+        rows.append((i, "b", f"{long[: 168 - len(last) - 3].rstrip('.')}.".ljust(168 - len(last) - 1) + f"\n{last}"))
+    assert {len(t) for _, s, t in rows if s == "b"} == {168}
+    got = {r.doc_id for r in truncation.truncated_ids(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got >= set(range(40, 60)) and 300 in got
+    assert not got & {301, *range(100, 140)}
+
+
 def test_strict_prefixes(spark):
     base = "x" * 50
     rows = [(1, base), (2, base + "y"), (3, base + "y" * 30), (4, "z" * 60), (5, base), (6, "short"), (7, "z" * 45 + "…")]

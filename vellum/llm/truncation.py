@@ -5,7 +5,9 @@ one stands right before such a text. Last words: a document's last word is joine
 words of the corpus; one that never occurs whole but begins longer words was cut. Fields: the lengths at which
 a source's texts stop open again and again are its field limits. What a text's own form says comes first: a last
 sentence without its end, a log line, table row or list entry with fewer parts than those before it, a mark of
-omission behind an open end. Sign-off lines are learned as openings of lines that come last, time and again.
+omission behind an open end. Sign-off lines are learned as openings of lines that go on after their first two words
+and come last at least nine times in ten; a line that stops within them may be a stump, which is no evidence.
+A field limit still tells where such a line lacks its usual ending, and a longer copy always does.
 
 Defined results: null, empty and blank texts are never cut; repeated ids are judged per id (cut if any row of it
 is); rows with null ids are ignored. Ties don't arise. A null source counts as a source of its own in the rates.
@@ -51,6 +53,11 @@ def _opening(line: str) -> str:
     return " ".join(re.sub(r"\d+", "9", x) for x in line.split(None, 2)[:2])
 
 
+def _may_sign_off(line: str) -> bool:
+    """A short line that goes on after its opening; one cut within its first two words is an opening of its own."""
+    return len(line) <= SIGNOFF and len(line.split(None, 2)) > 2
+
+
 def _columns(line: str, mark: str) -> int:
     return line.count(mark)
 
@@ -72,7 +79,7 @@ def form_of_end(text: str) -> tuple[str, str, str]:
     lines = [x.strip() for x in raw]
     last, tokens = lines[-1], lines[-1].split()
     word = m.group(0).lower() if (m := re.search(r"[^\W\d_]+$", last)) else ""
-    opening = _opening(last) if len(lines) > 1 and len(last) <= SIGNOFF else ""
+    opening = _opening(last) if len(lines) > 1 and _may_sign_off(last) else ""
     if marked:
         return ("whole" if _ends_sentence(last) and not marked.group(0).startswith(("…", "�")) else "open"), word, opening
     if last.endswith(")") and "(" in last:
@@ -125,9 +132,9 @@ def _survey(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: Counter[str] = Counter()
         inner: Counter[str] = Counter()
-        final: Counter[str] = Counter()
-        names = ["kind", "doc", "source", "n", "octets", "verdict", "word", "opening", "c"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        final: Counter[tuple[str, str]] = Counter()
+        names = ["kind", "doc", "source", "n", "octets", "verdict", "word", "opening", "ending", "c"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -141,19 +148,20 @@ def _survey(docs: DataFrame) -> DataFrame:
                     words.pop()  # the last one may be cut
                 whole.update(words)
                 lines = [x.strip() for x in re.split(r"\r\n?|\n", text) if x.strip()]
-                if len(lines) > 1 and len(lines[-1]) <= SIGNOFF:
-                    final[_opening(lines[-1])] += 1
+                ending = re.sub(r"\d+", "9", lines[-1].split()[-1]) if lines else ""
+                if len(lines) > 1 and _may_sign_off(lines[-1]):
+                    final[_opening(lines[-1]), ending] += 1
                 inner.update(_opening(x) for x in lines[:-1])
-                rows.append(("end", doc, source, len(text), len(text.encode()), verdict, word, opening, None))
+                rows.append(("end", doc, source, len(text), len(text.encode()), verdict, word, opening, ending, None))
             if rows:
                 yield batch_of(rows)
-        counts = [("word", None, None, None, None, None, w, None, c) for w, c in whole.items()]
-        counts += [("final", None, None, None, None, None, None, o, c) for o, c in final.items()]
-        counts += [("inner", None, None, None, None, None, None, o, c) for o, c in inner.items() if len(o) <= SIGNOFF]
+        counts = [("word", None, None, None, None, None, w, None, None, c) for w, c in whole.items()]
+        counts += [("final", None, None, None, None, None, None, o, e, c) for (o, e), c in final.items()]
+        counts += [("inner", None, None, None, None, None, None, o, None, c) for o, c in inner.items() if len(o) <= SIGNOFF]
         for i in range(0, len(counts), 10_000):
             yield batch_of(counts[i : i + 10_000])
 
-    schema = "kind string, doc long, source string, n long, octets long, verdict string, word string, opening string, c long"
+    schema = "kind string, doc long, source string, n long, octets long, verdict string, word string, opening string, ending string, c long"
     return docs.mapInArrow(run, schema)
 
 
@@ -199,7 +207,7 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
     """(doc, source, n, truncated, at_limit, in_copy) of every document with text."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("t")).where("doc is not null and length(regexp_replace(t, '[\\\\s\\\\p{Z}]+', '')) > 0")
     survey = cut(_survey(docs))
-    ends = survey.where("kind = 'end'").select("doc", "source", "n", "octets", "verdict", "word", "opening")
+    ends = survey.where("kind = 'end'").select("doc", "source", "n", "octets", "verdict", "word", "opening", "ending")
 
     words = survey.where("kind = 'word'").groupBy("word").agg(F.sum("c").alias("c"))
     open_words = ends.where("word <> ''").select("word").distinct()
@@ -213,7 +221,9 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
     fragments = known.join(longer, "word").where("longer >= 5 * whole and longer > 1 and whole <= 1 + longer / 200").select("word", F.lit(True).alias("fragment"))
 
     lines = survey.where("kind in ('final', 'inner')").groupBy("opening").agg(F.sum(F.expr("if(kind = 'final', c, 0)")).alias("f"), F.sum(F.expr("if(kind = 'inner', c, 0)")).alias("i"))
-    signoff = lines.where("f >= 4 and f >= 9 * i").select("opening", F.lit(True).alias("signoff"))
+    signoff = lines.where("f >= 4 and f >= 9 * i").select("opening", "f")
+    # last words that a good share of a sign-off's lines have: with one of them the line is whole
+    endings = survey.where("kind = 'final'").groupBy("opening", "ending").agg(F.sum("c").alias("c")).join(signoff, "opening").where("c >= 2 and 50 * c >= f").select("opening", "ending", F.lit(True).alias("signed"))
 
     # lengths in characters and in bytes at which a source's texts stop open far more often than at those around
     sizes = F.explode(F.array(F.struct(F.lit("n").alias("unit"), F.col("n").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size"))))
@@ -225,14 +235,14 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
     copies = docs.select("doc", F.xxhash64("t").alias("h1"), F.hash("t").alias("h2")).join(strict_prefixes(docs), ["h1", "h2"]).select("doc", F.lit(True).alias("copy")).distinct()
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     e = (
-        ends.withColumn("of", F.coalesce("source", F.lit(""))).join(fragments, "word", "left").join(signoff, "opening", "left")
+        ends.withColumn("of", F.coalesce("source", F.lit(""))).join(fragments, "word", "left").join(signoff.select("opening", F.lit(True).alias("signoff")), "opening", "left").join(endings, ["opening", "ending"], "left")
         .join(limit("n"), ["of", "n"], "left").join(limit("octets"), ["of", "octets"], "left").withColumn("limit", flag("limit_n") | flag("limit_octets"))
         .join(copies, "doc", "left")
     )
     open_end = F.col("verdict") != "whole"
     truncated = (F.col("verdict") == "open") & ~(flag("signoff") & ~flag("fragment"))
     truncated |= (F.col("verdict") == "sentence") & ~flag("signoff")
-    truncated |= open_end & (flag("fragment") | ((flag("limit") | flag("copy")) & ~flag("signoff")))
+    truncated |= open_end & (flag("fragment") | (flag("limit") & ~flag("signed")) | flag("copy"))
     return e.select("doc", "source", "n", truncated.alias("truncated"), (flag("limit") & open_end).alias("at_limit"), flag("copy").alias("in_copy"), "verdict")
 
 
