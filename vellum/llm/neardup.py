@@ -29,7 +29,7 @@ from ..plans.durable import cut, sweep
 from . import sketch
 from .textkit import DIGIT, LETTER, TextBatch, map_texts, mix
 
-#: Copies of one record up to which all their pairs are written out; beyond it each copy is paired with the representative.
+#: Exact copies of one text up to which all pairs among them are written out; beyond it each copy is paired with the lowest id.
 EXPAND = 1000
 #: Words of 64 bits of the parities that thin out the candidates.
 PARITY = 8
@@ -117,7 +117,7 @@ def _words(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
 
 
 def _survey(rows: DataFrame, spec: Spec) -> DataFrame:
-    """One pass: (sig, id, n, parity) of every record, and the blocks of the frequency sketch of each task."""
+    """One pass: (sig, id, n, parity, text hash) of every record, and the blocks of the frequency sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << spec.sketch_bits, np.uint8)
@@ -129,14 +129,14 @@ def _survey(rows: DataFrame, spec: Spec) -> DataFrame:
             some = n > 0
             ids = part.column("id").filter(pa.array(some))
             parity = pa.array([x.tobytes() for x in parities(row, tokens, b.size, PARITY)[some]], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), parity, pa.array(signatures(tokens, n)[some]), ids, pa.array(n[some].astype(np.int32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), parity, pa.array(signatures(tokens, n)[some]), ids, pa.array(n[some].astype(np.int32)), part.column("exact").filter(pa.array(some))], names=names)
 
         yield from map_texts("t", one)(batches)
         for i, data in sketch.blocks(table):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
 
-    names = ["block", "data", "sig", "id", "n"]
-    return rows.mapInArrow(run, "block int, data binary, sig long, id long, n int")
+    names = ["block", "data", "sig", "id", "n", "exact"]
+    return rows.withColumn("exact", F.xxhash64("t")).mapInArrow(run, "block int, data binary, sig long, id long, n int, exact long")
 
 
 def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
@@ -249,18 +249,18 @@ def _verify(pairs: DataFrame, records: DataFrame, spec: Spec) -> DataFrame:
 
 
 def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal records (a, b, similarity), and the membership (sig, id) of all that take part.
+    """Links between classes of equal records (a, b, similarity), and the membership (sig, id, exact) of all that take part.
 
-    A class is named by its lowest id.
+    A class is named by its lowest id; ``exact`` is a hash of the text, which tells equal texts from equal sets.
     """
     rows = _words(df, key, texts)
     survey = cut(_survey(rows, spec))
     spark = df.sparkSession
     frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), spec.sketch_bits))
     # a class of equal sets goes by its lowest id from here on
-    equal = survey.where("sig is not null").select(F.col("sig").alias("same"), "id").distinct()
+    equal = survey.where("sig is not null").groupBy(F.col("sig").alias("same"), "id").agg(F.min("exact").alias("exact"))
     low = equal.groupBy("same").agg(F.min("id").alias("sig"))
-    members = equal.join(low, "same").select("sig", "id")
+    members = equal.join(low, "same").select("sig", "id", "exact")
     classes = survey.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.min("data").alias("parity"), F.min("n").alias("n")).select(F.col("id").alias("sig"), "parity", "n")
     copies = members.where("id <> sig").select("id")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -300,17 +300,20 @@ def _only(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
 
 
 def expanded(link: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFrame:
-    """Pairs of ids (a < b): links between all members of linked classes, and between the copies within a class.
+    """Pairs of ids (a < b): links between all members of linked classes, and between the members of a class.
 
-    A class of more than ``limit`` copies is written as pairs with its lowest id, through which the rest follows.
+    Only more than ``limit`` exact copies of one text are folded: among themselves they are written as pairs with their
+    lowest id, through which the rest follows. Pairs of different texts are all written.
     """
-    m = members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "sig")
-    ends: Column = (F.col("copies") <= limit) | (F.col("id") == F.col("sig"))
-    end = m.where(ends).select("sig", "id")
-    across = (
-        link.join(end.select(F.col("sig").alias("a"), F.col("id").alias("x")), "a").join(end.select(F.col("sig").alias("b"), F.col("id").alias("y")), "b")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    several = m.where("copies > 1")
-    x, y = several.where(ends).select("sig", F.col("id").alias("a")), several.select("sig", F.col("id").alias("b"))
-    return across.unionByName(x.join(y, "sig").where("a < b").select("a", "b"))
+    text = ["sig", "exact"]
+    pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    member = lambda sig, id_, *more: members.select(F.col("sig").alias(sig), F.col("id").alias(id_), *more)
+    across = pair(link.join(member("a", "x"), "a").join(member("b", "y"), "b"))
+    groups = members.groupBy(*text).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("lowest"))
+    # texts meet as groups first, so that exact copies are compared with each other nowhere
+    g = groups.select("sig", F.col("exact").alias("e")).join(groups.select("sig", F.col("exact").alias("f")), "sig").where("e < f")
+    within = pair(g.join(member("sig", "x", F.col("exact").alias("e")), ["sig", "e"]).join(member("sig", "y", F.col("exact").alias("f")), ["sig", "f"]))
+    several = members.join(groups.where("copies > 1"), text)
+    ends: Column = (F.col("copies") <= limit) | (F.col("id") == F.col("lowest"))
+    x, y = several.where(ends).select(*text, F.col("id").alias("a")), several.select(*text, F.col("id").alias("b"))
+    return across.unionByName(within).unionByName(x.join(y, text).where("a < b").select("a", "b"))
