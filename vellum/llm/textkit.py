@@ -75,6 +75,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class Spans:
+    """Hashes of any stretches of an array of code points, by prefix sums."""
+
+    def __init__(self, codes: np.ndarray):
+        self._room = 1 << max(16, len(codes).bit_length())
+        up, _ = _powers(self._room)
+        self._sums = np.zeros(len(codes) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((codes.astype(np.uint64) + np.uint64(12345)) * _PRIME * up[: len(codes)], out=self._sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        _, down = _powers(self._room)
+        with np.errstate(over="ignore"):
+            return mix((self._sums[ends] - self._sums[starts]) * down[starts])
+
+
 class TextBatch:
     """Texts as one array of code points; a line feed is put behind each, so that runs end with their text."""
 
@@ -115,18 +131,12 @@ class TextBatch:
         return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
     @cached_property
-    def _prefix(self) -> np.ndarray:
-        up, _ = _powers(1 << max(16, (len(self.codes)).bit_length()))
-        s = np.zeros(len(self.codes) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((self.low.astype(np.uint64) + np.uint64(12345)) * _PRIME * up[: len(self.codes)], out=s[1:])
-        return s
+    def _spans(self) -> Spans:
+        return Spans(self.low)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the lower-cased stretches of text."""
-        _, down = _powers(1 << max(16, (len(self.codes)).bit_length()))
-        with np.errstate(over="ignore"):
-            return mix((self._prefix[ends] - self._prefix[starts]) * down[starts])
+        return self._spans.hashes(starts, ends)
 
 
 def word_hash(words: Iterable[str]) -> np.ndarray:
