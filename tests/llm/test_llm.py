@@ -34,6 +34,23 @@ def test_rules_tell_lists_from_prose(spark):
     assert stats[203].line_count == 6 and stats[203].entry_line_share == 1.0 and stats[203].sentence_rate == 0
 
 
+@pytest.mark.parametrize(("n", "negative", "least"), [(4, 1, 0.5), (48, 5, 0.9), (480, 60, 0.97)])
+def test_few_labels_still_give_rules(n, negative, least):
+    rng = np.random.default_rng(n)
+
+    def draw(size, prose):
+        x = rng.random((size, len(quality.FEATURES)))
+        at = quality.FEATURES.index("sentence_rate")
+        x[:, at] = x[:, at] * 0.03 + (0.05 if prose else 0)
+        return x
+
+    x, y = np.concatenate([draw(n - negative, True), draw(negative, False)]), np.arange(n) < n - negative
+    rules = quality.induce_rules(x, y)
+    assert rules.rules
+    right = (rules.predict(draw(500, True)).mean() + (~rules.predict(draw(500, False))).mean()) / 2
+    assert right >= least
+
+
 def test_no_labels_means_no_rules(spark):
     df = spark.createDataFrame([(1, "x")], "chunk_ord long, content string")
     none = spark.createDataFrame([], "chunk_ord long, is_prose int")

@@ -2,8 +2,9 @@
 
 The statistics come from one vectorised scan of each Arrow batch (see ``textkit``; as built-in regular
 expressions they took 25 times the CPU). The rule list is induced by incremental reduced-error pruning (grow on
-two thirds of the labels, prune on the rest, keep the rule while it helps) and exported as one SQL ``CASE``,
-so that applying it stays inside whole-stage code generation.
+two thirds of the labels, prune on the rest, keep the rule while it helps) over several splits, of which the shortest
+description of the labels wins, and exported as one SQL ``CASE``, so that applying it stays inside whole-stage code
+generation.
 
 Defined results: null, empty and blank texts get null statistics and are no case of ``found``; labels that
 are null or contradict each other for one key are left out of the fit; without any usable label of either
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import BLANK, BREAK, CLOSE, DIGIT, LETTER, STOP, TextBatch, member, pieces, word_hash
+from .textkit import BLANK, BREAK, CLOSE, DIGIT, LETTER, LOWER, STOP, UPPER, TextBatch, member, pieces, word_hash
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -96,12 +97,14 @@ def measure(b: TextBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
     mark |= ((cls[ts] & DIGIT) != 0) & ((cls[te - 1] & DIGIT) != 0) & (inner == 0) & (length >= 3) & (length <= 9)
     tab = np.isin(codes, [9, ord("|"), ord(";")])
     gap = ((cls & BLANK) != 0) & solid_shift(cls)
+    case_break = np.zeros(len(codes), bool)  # a capital within a word, as misread encodings leave it
+    case_break[1:] = ((cls[1:] & UPPER) != 0) & ((cls[:-1] & LOWER) != 0)
     n, t, ln = words.astype(float), tokens.astype(float), lines.astype(float)
     return {
         "word_count": t,
         "mean_word_length": _share(letters, n),
         "symbol_ratio": _share(chars - letters - digits, chars),
-        "odd_char_ratio": _share(b.per_text(solid & ~known & ((codes > 126) | ~letter & ~digit) & (~letter | (codes == 0xD0) | (codes == 0xC3))), chars),
+        "odd_char_ratio": _share(b.per_text(solid & ~known & ~digit & (~letter | case_break)), chars),
         "digit_ratio": _share(digits, chars),
         "single_char_share": _share(np.bincount(trow[length == 1], minlength=b.size), t),
         "line_count": ln,
@@ -179,77 +182,123 @@ class RuleList:
         return ~hit
 
 
-def _best_condition(x: np.ndarray, y: np.ndarray, bins: int) -> tuple[float, Condition | None]:
-    """The condition of most information gain over the rows that the rule still covers."""
+def _best_condition(x: np.ndarray, y: np.ndarray, bins: int, scale: np.ndarray) -> Condition | None:
+    """The condition of most information gain over the rows that the rule still covers; of equal gains that of the widest gap."""
     p0, n0 = y.sum(), (~y).sum()
-    best: tuple[float, Condition | None] = (1e-9, None)
+    best, found = (1e-9, 0.0), None
     base = math.log2(p0 / (p0 + n0))
     for j, name in enumerate(FEATURES):
         v = x[:, j]
         distinct = np.unique(v)
         if len(distinct) < 2:
             continue
-        cuts = (distinct[1:] + distinct[:-1]) / 2
-        if len(cuts) > bins:
-            cuts = cuts[np.linspace(0, len(cuts) - 1, bins).astype(int)]
+        at = np.arange(len(distinct) - 1)
+        if len(at) > bins:
+            at = at[np.linspace(0, len(at) - 1, bins).astype(int)]
+        cuts, gaps = (distinct[at + 1] + distinct[at]) / 2, (distinct[at + 1] - distinct[at]) / scale[j]
         order = np.argsort(v, kind="stable")
         below = np.searchsorted(v[order], cuts)
         cum = np.concatenate([[0], np.cumsum(y[order])])
         for at_least, p, total in ((False, cum[below], below), (True, p0 - cum[below], len(v) - below)):
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(p > 0, p * (np.log2(p / total) - base), -1.0)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), Condition(name, at_least, float(np.round(cuts[k], 6))))
-    return best
+            top = np.flatnonzero(gain >= gain.max() - 1e-9)
+            k = top[gaps[top].argmax()]
+            score = (round(float(gain[k]), 9), float(gaps[k]))
+            if score > best:
+                best, found = score, Condition(name, at_least, float(np.round(cuts[k], 6)))
+    return found
 
 
-def induce_rules(x: np.ndarray, is_prose: np.ndarray, seed: int = 7, bins: int = 256, max_rules: int = 24) -> RuleList:
-    """Incremental reduced-error pruning with "not prose" as the class that the rules cover.
+def _holds(rule: list[Condition], x: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([c.holds(x) for c in rule])
 
-    A rule is grown by information gain on two thirds of the remaining rows until it covers no prose, its
-    trailing conditions are dropped while (p - n) / (p + n) on the other third doesn't fall, and the list ends
-    when the pruned rule is wrong on more than half of what it covers there.
-    """
-    x, y = np.nan_to_num(np.asarray(x, float)), ~np.asarray(is_prose, bool)
-    rules: list[tuple[Condition, ...]] = []
-    rng = np.random.default_rng(seed)
-    left = np.ones(len(y), bool)
-    while y[left].any() and len(rules) < max_rules:
-        at = rng.permutation(np.flatnonzero(left))
-        held = np.zeros(len(y), bool)
-        for kind in (True, False):  # both classes are divided in the same proportion
-            own = at[y[at] == kind]
-            held[own[: len(own) // 3]] = True
-        grow, prune = left & ~held, left & held
-        if not prune.any():
-            prune = grow
-        rule: list[Condition] = []
-        covered = grow.copy()
-        while (~y[covered]).any() and y[covered].any() and len(rule) < 6:
-            _, condition = _best_condition(x[covered], y[covered], bins)
-            if condition is None:
-                break
-            rule.append(condition)
-            covered &= condition.holds(x)
-        if not rule:
+
+def _grown(x: np.ndarray, y: np.ndarray, rows: np.ndarray, bins: int, scale: np.ndarray) -> list[Condition]:
+    rule: list[Condition] = []
+    covered = rows.copy()
+    while (~y[covered]).any() and y[covered].any() and len(rule) < 6:
+        condition = _best_condition(x[covered], y[covered], bins, scale)
+        if condition is None:
             break
+        rule.append(condition)
+        covered &= condition.holds(x)
+    return rule
+
+
+def _one_list(x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None, bins: int, max_rules: int, tries: int = 3) -> list[list[Condition]]:
+    """One run of incremental reduced-error pruning; without ``rng`` rules are grown on all rows and not pruned."""
+    scale = np.maximum(x.std(axis=0), 1e-12)
+    rules: list[list[Condition]] = []
+    left, failed = np.ones(len(y), bool), 0
+    while y[left].any() and (~y[left]).any() and len(rules) < max_rules and failed < tries:
+        grow = prune = left
+        if rng is not None:
+            at = rng.permutation(np.flatnonzero(left))
+            held = np.zeros(len(y), bool)
+            for kind in (True, False):  # both classes are divided in the same proportion
+                own = at[y[at] == kind]
+                held[own[: len(own) // 3]] = True
+            grow, prune = left & ~held, left & held
+            if not y[prune].any():
+                prune = left
+        rule = _grown(x, y, grow, bins, scale)
+        if not rule:
+            failed += 1
+            continue
 
         def worth(r: list[Condition], rows: np.ndarray) -> tuple[float, int, int]:
-            m = rows & np.logical_and.reduce([c.holds(x) for c in r])
+            m = rows & _holds(r, x)
             p, n = int(y[m].sum()), int((~y[m]).sum())
             return ((p - n) / (p + n) if p + n else -1.0), p, n
 
         while len(rule) > 1 and worth(rule[:-1], prune)[0] >= worth(rule, prune)[0]:
             rule.pop()
         _, p, n = worth(rule, prune)
-        if p + n == 0:
-            _, p, n = worth(rule, left)
-        if n >= p:
-            break
-        rules.append(tuple(rule))
-        left &= ~np.logical_and.reduce([c.holds(x) for c in rule])
-    return RuleList(tuple(rules))
+        if n >= p:  # wrong on half of what it covers: another split may do better
+            failed += 1
+            if rng is None:
+                break
+            continue
+        rules.append(rule)
+        left &= ~_holds(rule, x)
+    return rules
+
+
+def _merged(rule: list[Condition]) -> tuple[Condition, ...]:
+    """Of several conditions on one statistic in one direction only the narrowest."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        had = out.get((c.feature, c.at_least))
+        if had is None or (c.threshold > had.threshold) == c.at_least:
+            out[c.feature, c.at_least] = c
+    return tuple(out.values())
+
+
+def description_bits(rules: list[list[Condition]], x: np.ndarray, y: np.ndarray, bins: int) -> float:
+    """Bits that state the rules and then name the labels they get wrong."""
+    choose = lambda n, k: (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
+    hit = np.zeros(len(y), bool)
+    for r in rules:
+        hit |= _holds(r, x)
+    covered = int(hit.sum())
+    theory = sum(len(r) * (math.log2(len(FEATURES)) + 1 + math.log2(max(2, min(bins, len(y))))) for r in rules)
+    return theory / 2 + choose(covered, int((hit & ~y).sum())) + choose(len(y) - covered, int((~hit & y).sum()))
+
+
+def induce_rules(x: np.ndarray, is_prose: np.ndarray, seeds: int = 10, bins: int = 256, max_rules: int = 24) -> RuleList:
+    """Incremental reduced-error pruning with "not prose" as the class that the rules cover.
+
+    A rule is grown by information gain on two thirds of the remaining rows until it covers no prose, its
+    trailing conditions are dropped while (p - n) / (p + n) on the other third doesn't fall, and the list ends
+    when pruned rules are wrong on half of what they cover there. That is done on ``seeds`` random splits and once
+    unpruned on all rows; the list of the shortest description of the labels is taken. It has a rule as long as both
+    classes occur and differ in any statistic.
+    """
+    x, y = np.nan_to_num(np.asarray(x, float)), ~np.asarray(is_prose, bool)
+    lists = [_one_list(x, y, None if i is None else np.random.default_rng(i), bins, max_rules) for i in (*range(seeds), None)]
+    best = min((r for r in lists if r), key=lambda r: description_bits(r, x, y, bins), default=[])
+    return RuleList(tuple(_merged(r) for r in best))
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text_col: str, label_col: str = "is_prose", max_labels: int = MAX_LABELS) -> RuleList:
