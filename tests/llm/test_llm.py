@@ -217,6 +217,32 @@ def test_neighbours(spark):
     assert vectors.neighbour_pairs(vectors.nearest(df.where("vec_id in (1, 2)"))).count() == 1
 
 
+@pytest.mark.parametrize(("radii", "width"), [((1,), 20), ((1, 2), 16)])
+def test_open_queries_are_searched_exactly(spark, radii, width):
+    rng = np.random.default_rng(6)
+    x = np.float32(rng.standard_normal((150, 64)))  # no near ones: hardly a query is settled by its codes
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.id, r.other) for r in vectors.nearest(df, radii=radii, width=width).collect()}
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -9)
+    best = {(a, int(b)) for a in range(len(x)) for b in np.argsort(-s[a])[:5]}
+    assert got >= best
+
+
+def test_probing_finds_each_pair_once(spark):
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 8, (300, 4))
+    lanes = lambda i, j: [int(a) | int(b) << 32 for a, b in zip(codes[:, i], codes[:, j], strict=True)]
+    df = spark.createDataFrame([(i, a, b, 0, 1) for i, (a, b) in enumerate(zip(lanes(0, 1), lanes(2, 3), strict=True))], "id long, lo long, hi long, c1 int, c2 int")
+    far = np.bitwise_count(codes[:, None] ^ codes[None])
+    for radius, symmetric in ((1, True), (2, False)):
+        rows = vectors._probe(df, df, 8, radius, 11, symmetric).collect()
+        got = {(r.a, r.b): r.h for r in rows}
+        assert len(rows) == len(got) * (1 if symmetric else 2)
+        assert got == {(i, j): far[i, j].sum() for i in range(300) for j in range(i + 1, 300) if (far[i, j] <= radius).any() and far[i, j].sum() <= 11}
+
+
 # --- 6: scans ---
 
 

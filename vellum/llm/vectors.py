@@ -1,11 +1,16 @@
 """The k most similar vectors of every vector by multi-index hashing.
 
 A rotation is learned on a bounded sample (principal axes, then iterative quantisation); the signs of the rotated
-vector are its code. Codes are split into substrings of 16 bits, each an index of its own: two codes within Hamming
-distance r differ in at most r / m bits of one of the m substrings, so probing each substring at that small
-radius finds every code within r. Queries that have found fewer than k codes within the distance so covered probe
-again with a larger radius; what is still open after the last radius is searched exactly, in blocks of queries
-against all rows. All pairs found are reranked by the cosine of the floats; none is dropped by a cap.
+vector are its code of four substrings, each about as many bits wide as the number of vectors has, so that a bucket
+holds about one vector whatever their number. Two codes within Hamming distance 4 (r + 1) - 1 differ in at most r bits
+of one of the substrings, so probing each substring at that radius finds every code within it. Only codes move for
+that: halves of substrings are the keys of the exchange (with r flips in a substring, one half has at most r / 2), the
+flips of the other half are looked up within a task. Queries that have found fewer than k codes within the distance so
+covered probe again with radius 2; what is still open is searched exactly, in blocks of queries against all rows.
+
+The pairs found are reranked by the cosine of the floats. For that vectors go to the two nearest of some hundreds of
+centroids, and a pair meets in a cell that both have; pairs without one, or of an overfull cell, are joined by id.
+No pair is dropped by a cap.
 
 Defined results: vectors that are null, of another length, all zero, or hold null, NaN or infinite values take no
 part. Rows with one id count once (the one of the lowest hash). Equal vectors form one class: any of them can only
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +33,47 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import cut
 
-SUB = 16
+#: Substrings of a code; each has a lane of 32 bits in the two longs of a code.
+M = 4
+#: Vectors of a cell beyond which its pairs are joined by id instead.
+MAX_CELL = 200_000
+#: Rows below which a side is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class Coder:
     mean: np.ndarray
     rotation: np.ndarray
+    centroids: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.rotation.shape[1] // M
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The four substrings of each code, two to a long."""
         bits = (x - self.mean) @ self.rotation > 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
+        lanes = np.zeros((len(x), M, 32), bool)
+        lanes[:, :, : self.width] = bits.reshape(len(x), M, self.width)
+        packed = np.packbits(lanes.reshape(len(x), -1), axis=1, bitorder="little").view(np.int64)
+        return packed[:, 0], packed[:, 1]
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The two nearest centroids."""
+        near = x @ self.centroids.T
+        first = near.argmax(axis=1)
+        near[np.arange(len(x)), first] = -np.inf
+        second = near.argmax(axis=1) if near.shape[1] > 1 else first
+        return np.stack([first, second], axis=1)
+
+
+def width_for(n: int) -> int:
+    """Bits of a substring: about log2 of the number of vectors, even, since it has two halves, and enough to tell vectors apart."""
+    return min(32, max(16, 2 * ((int(n).bit_length() + 1) // 2)))
 
 
-def fit_coder(x: np.ndarray, bits: int = 64, rounds: int = 20, seed: int = 11) -> Coder:
+def fit_coder(x: np.ndarray, bits: int = 64, rounds: int = 20, seed: int = 11, cells: int = 1) -> Coder:
     """Iterative quantisation: alternate the nearest sign vectors and the rotation that best maps onto them."""
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     v = x - mean
@@ -48,13 +82,20 @@ def fit_coder(x: np.ndarray, bits: int = 64, rounds: int = 20, seed: int = 11) -
     _, axes = np.linalg.eigh(v.T @ v + 1e-9 * np.eye(dim))
     basis = axes[:, ::-1][:, :bits]
     if bits > dim:  # more bits than axes: random directions for the rest
-        basis = np.concatenate([basis, rng.standard_normal((dim, bits - dim))], axis=1)
+        basis = np.concatenate([basis, rng.standard_normal((dim, bits - dim)) / np.sqrt(dim)], axis=1)
     p = v @ basis
     r, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(p @ r > 0, 1.0, -1.0).T @ p)
         r = (u @ w).T
-    return Coder(mean.astype(np.float32), (basis @ r).astype(np.float32))
+    centroids = x[rng.permutation(len(x))[:cells]] if len(x) else np.zeros((1, dim))
+    for _ in range(6 if len(x) > cells else 0):
+        at = (x @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, at, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
+    return Coder(mean.astype(np.float32), (basis @ r).astype(np.float32), centroids.astype(np.float32))
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,140 +110,285 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (x[good] / norm[good, None]).astype(np.float32), ok
 
 
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of a float32 matrix as bytes."""
+    offsets = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1] * 4).astype(np.int32).tobytes())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
 def unit_vectors(df: DataFrame, key: str, vec_col: str, dim: int) -> DataFrame:
-    """(id, vec): usable vectors scaled to length 1, as float32 bytes; one row per id."""
+    """(id, vec): usable rows scaled to length 1, as float32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ok = _unit(batch.column("v"), dim)
-            raw = pa.py_buffer(np.ascontiguousarray(x).tobytes())
-            offsets = pa.py_buffer((np.arange(len(ok) + 1) * dim * 4).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ok)), pa.BinaryArray.from_buffers(pa.binary(), len(ok), [None, offsets, raw])], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ok)), _binary(x)], names=["id", "vec"])
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    return rows.mapInArrow(run, "id long, vec binary").groupBy("id").agg(F.min_by("vec", F.xxhash64("vec")).alias("vec"))
+    return rows.mapInArrow(run, "id long, vec binary")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _coded(classes: DataFrame, coder, dim: int) -> DataFrame:
+def _sized(df: DataFrame) -> DataFrame:
+    """Broadcast if small, by a count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _coded(vectors: DataFrame, coder, dim: int) -> DataFrame:
+    """(id, lo, hi, c1, c2): the code and the two cells of each vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coder.value.codes(_matrix(batch.column("vec"), dim)))], names=["id", "code"])
+                x = _matrix(batch.column("vec"), dim)
+                lo, hi = coder.value.codes(x)
+                cells = coder.value.cells(x).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lo), pa.array(hi), pa.array(cells[:, 0]), pa.array(cells[:, 1])], names=["id", "lo", "hi", "c1", "c2"])
 
-    return classes.select("id", "vec").mapInArrow(run, "id long, code long")
+    return vectors.select("id", "vec").mapInArrow(run, "id long, lo long, hi long, c1 int, c2 int")
 
 
-def _masks(radius: int) -> list[int]:
-    """All differences of a substring of up to ``radius`` bits, none counted twice."""
-    out = {0}
-    for _ in range(radius):
-        out |= {m ^ (1 << i) for m in out for i in range(SUB)}
-    return sorted(out)
+def _flips(bits: int, most: int) -> list[int]:
+    """All differences of a value of this many bits in up to ``most`` of them."""
+    return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def _probe(queries: DataFrame, index: DataFrame, radius: int, m: int, reach: int, symmetric: bool) -> DataFrame:
-    """Pairs (a < b, h) of codes that differ in at most ``radius`` bits of some substring and in at most ``reach`` in all."""
-    part = lambda i: f"shiftrightunsigned(code, {SUB * i}) & {(1 << SUB) - 1}"
-    keyed = lambda df: df.select("id", "code", F.posexplode(F.array(*(F.expr(part(i)) for i in range(m)))).alias("s", "v"))
-    flips = F.array(*(F.lit(x).cast("long") for x in _masks(radius)))
-    q = keyed(queries).select("id", "code", "s", "v", F.explode(flips).alias("flip")).select("id", "code", (F.col("v").bitwiseXOR(F.col("flip")) + F.col("s") * (1 << SUB)).alias("k"), "s")
-    i = keyed(index).select("id", "code", (F.col("v") + F.col("s") * (1 << SUB)).alias("k"))
-    x = "(q.code ^ i.code)"
-    near = lambda k: f"bit_count(shiftrightunsigned({x}, {SUB * k}) & {(1 << SUB) - 1}) <= {radius}"
-    # a pair is taken at the first substring that finds it, so nothing has to be made distinct
-    earlier = " AND ".join(f"(q.s <= {k} OR NOT {near(k)})" for k in range(m - 1)) or "true"
-    order = "q.id < i.id" if symmetric else "q.id <> i.id"
-    got = q.alias("q").join(i.alias("i"), F.expr(f"q.k = i.k AND {order} AND bit_count({x}) <= {reach} AND {earlier}"))
-    return got.select(F.expr("least(q.id, i.id)").alias("a"), F.expr("greatest(q.id, i.id)").alias("b"), F.expr(f"bit_count({x})").alias("h"))
+def _substring(lo: np.ndarray, hi: np.ndarray, s: int) -> np.ndarray:
+    return ((lo if s < 2 else hi) >> np.uint64(32 * (s & 1))) & np.uint64(0xFFFFFFFF)
 
 
-def _cosines(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
+def _ways(width: int, radius: int) -> list[tuple[int, int, list[int]]]:
+    """(half, flips of the exchange key, flips to look up in the other half): each difference of up to ``radius`` bits once.
+
+    A half has at most half of the flips, rounded down; a difference that either half could carry goes by the lower one.
+    """
+    half = width // 2
+    out = []
+    for used in range(radius // 2 + 1):
+        for key in (x for x in _flips(half, used) if x.bit_count() == used):
+            out.append((0, key, _flips(half, radius - used)))
+            out.append((1, key, [x for x in _flips(half, radius - used) if x.bit_count() > radius // 2]))
+    return out
+
+
+def _probe(queries: DataFrame, index: DataFrame, width: int, radius: int, reach: int, symmetric: bool) -> DataFrame:
+    """(cell, a, b, h) with a < b: codes that differ in at most ``radius`` bits of some substring and ``reach`` in all; cell -1: none in common.
+
+    Exchanged are (key, id, code, cells): per substring and half the half's value, for queries with its flips. If the
+    queries are the index itself, one set of rows serves as both.
+    """
+    half = width // 2
+    ways = _ways(width, radius)
+    low = np.uint64((1 << half) - 1)
+    keys = sorted({(h, k) for h, k, _ in ways}) if not symmetric else [(0, 0), (1, 0)]
+    assert not symmetric or all(k == 0 for _, k, _ in ways)
+    part = lambda s, h: f"(shiftrightunsigned({'lo' if s < 2 else 'hi'}, {32 * (s & 1) + half * h}) & {(1 << half) - 1})"
+    slot = lambda s, h, flip: f"named_struct('g', ({part(s, h)} ^ {flip}L) * {2 * M} + {2 * s + h}, 'flip', {flip}L)"
+    rows = lambda df, which, asks: df.select("id", "lo", "hi", "c1", "c2", F.lit(asks).alias("asks"), F.explode(F.array(*(F.expr(slot(s, h, k)) for s in range(M) for h, k in which))).alias("k")).select("id", "lo", "hi", "c1", "c2", "asks", "k.g", "k.flip")
+    sent = rows(index, [(0, 0), (1, 0)], symmetric)
+    if not symmetric:
+        sent = sent.unionByName(rows(queries, keys, True))
+    names = ["cell", "a", "b", "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        col = lambda c: np.asarray(t.column(c).combine_chunks())
+        ids, c1, c2, g, flip = (col(c) for c in ("id", "c1", "c2", "g", "flip"))
+        lo, hi = (col(c).view(np.uint64) for c in ("lo", "hi"))
+        asks = np.asarray(t.column("asks").combine_chunks().cast(pa.int8())).astype(bool)
+        is_index = ~asks if not symmetric else np.ones(len(ids), bool)
+        for sh in range(2 * M):
+            s, h = divmod(sh, 2)
+            mine = (g % (2 * M)) == sh
+            i = np.flatnonzero(mine & is_index)
+            if not len(i):
+                continue
+            other = lambda at, s=s, h=h: (_substring(lo[at], hi[at], s) >> np.uint64(half * (1 - h))) & low
+            place = (g[i].astype(np.uint64) // np.uint64(2 * M) << np.uint64(half)) | other(i)
+            order = np.argsort(place, kind="stable")
+            place, i = place[order], i[order]
+            for way, key, looks in ways:
+                if way != h:
+                    continue
+                q = np.flatnonzero(mine & asks & (flip == key))
+                base = (g[q].astype(np.uint64) // np.uint64(2 * M) << np.uint64(half)) | other(q)
+                for look in looks:
+                    want = base ^ np.uint64(look)
+                    first = np.searchsorted(place, want)
+                    n = np.searchsorted(place, want, side="right") - first
+                    some = np.flatnonzero(n)
+                    # in steps of bounded size, however many share a bucket
+                    step = np.cumsum(n[some]) // 1_000_000
+                    for piece in np.split(some, np.flatnonzero(np.diff(step)) + 1) if len(some) else []:
+                        m = n[piece]
+                        a = np.repeat(q[piece], m)
+                        b = i[np.repeat(first[piece] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                        keep = ids[a] < ids[b] if symmetric else ids[a] != ids[b]
+                        a, b = a[keep], b[keep]
+                        x, y = lo[a] ^ lo[b], hi[a] ^ hi[b]
+                        far = np.bitwise_count(x).astype(np.int32) + np.bitwise_count(y).astype(np.int32)
+                        new = far <= reach
+                        for earlier in range(s):  # found at an earlier substring already
+                            new &= np.bitwise_count(_substring(x, y, earlier)) > radius
+                        a, b, far = a[new], b[new], far[new]
+                        cell = np.where((c1[a] == c1[b]) | (c1[a] == c2[b]), c1[a], np.where(c2[a] == c1[b], c1[b], np.where(c2[a] == c2[b], c2[a], -1)))
+                        u, v = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+                        if len(u):
+                            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(u), pa.array(v), pa.array(far)], names=names)
+
+    return sent.repartition("g").mapInArrow(run, "cell int, a long, b long, h int")
+
+
+def _best(ids: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each id, ties to the lower other id."""
+    order = np.lexsort((other, -cosine, ids))
+    ids, other, cosine = ids[order], other[order], cosine[order]
+    first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0)) if len(ids) else first
+    keep = np.arange(len(ids)) - start < k
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(other[keep]), pa.array(cosine[keep])], names=NEAR_NAMES)
+
+
+NEAR, NEAR_NAMES = "id long, other long, cosine double", ["id", "other", "cosine"]
+
+
+def _in_cells(pairs: DataFrame, vectors: DataFrame, coder, dim: int, k: int) -> DataFrame:
+    """The k best of each id in each cell, of the pairs that meet in a cell."""
+    asked = pairs.select("cell", "a", "b")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = coder.value.cells(_matrix(batch.column("vec"), dim)).astype(np.int32)
+                for j in range(2):
+                    use = pa.array((cells[:, j] != cells[:, 0]) | (j == 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, j]).filter(use), batch.column("id").filter(use), batch.column("vec").filter(use)], names=["cell", "id", "vec"])
+
+    placed = vectors.select("id", "vec").mapInArrow(spread, "cell int, id long, vec binary")
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_batches([_best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)])
+        ids, at = np.unique(np.asarray(right.column("id").combine_chunks()), return_index=True)  # a redelivered row counts once
+        x = _matrix(right.column("vec"), dim)[at]
+        a, b = (np.asarray(left.column(c).combine_chunks()) for c in ("a", "b"))
+        place = np.unique(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b))  # both probings may have found a pair
+        i, j = place // len(ids), place % len(ids)
+        a, b = ids[i], ids[j]
+        cosine = np.empty(len(a))
+        for p in range(0, len(a), 100_000):
+            s = slice(p, p + 100_000)
+            cosine[s] = np.einsum("ij,ij->i", x[i[s]].astype(np.float64), x[j[s]].astype(np.float64))
+        return pa.Table.from_batches([_best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine]), k)])
+
+    return asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(rank, NEAR)
+
+
+def _by_id(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Both directions of the pairs with their cosines, by joins on the ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in ("x", "y"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.einsum("ij,ij->i", x, y))], names=["a", "b", "cosine"])
-
-    v = classes.select("id", "vec")
-    both = pairs.join(v.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double")
-
-
-def _exact(open_: DataFrame, classes: DataFrame, k: int, dim: int, block: int = 4096) -> DataFrame | None:
-    """Neighbours of the remaining queries: blocks of at most ``block`` query vectors against all rows."""
-    rows, out = open_.select("id", "vec").toLocalIterator(prefetchPartitions=True), None
-    done = False
-    while not done:
-        ids, vecs = [], []
-        for row in rows:
-            ids.append(row.id)
-            vecs.append(bytes(row.vec))
-            if len(ids) == block:
-                break
-        done = len(ids) < block
-        if not ids:
-            break
-        held = open_.sparkSession.sparkContext.broadcast((np.array(ids), np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim)))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = np.asarray(batch.column("id"))
-                sim = q.astype(np.float64) @ _matrix(batch.column("vec"), dim).T.astype(np.float64)
-                sim[qid[:, None] == own[None, :]] = -np.inf
+                a, b = (np.asarray(batch.column(c)) for c in ("a", "b"))
+                cosine = np.einsum("ij,ij->i", x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([cosine, cosine]))], names=NEAR_NAMES)
+
+    v = vectors.select("id", "vec")
+    asked = pairs.select("a", "b").distinct()
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else (lambda df: df)
+    both = v.select(F.col("id").alias("a"), F.col("vec").alias("x")).join(hint(asked), "a")
+    both = v.select(F.col("id").alias("b"), F.col("vec").alias("y")).join(hint(both), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, NEAR)
+
+
+def _packed(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
+    """Blocks (ids, vecs) of at most ``rows`` vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column("id")).tobytes()], pa.binary()), pa.array([_matrix(part.column("vec"), dim).tobytes()], pa.binary())], names=["ids", "vecs"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "ids binary, vecs binary")
+
+
+def _exact(open_: DataFrame, vectors: DataFrame, k: int, dim: int, block: int = 4096) -> DataFrame:
+    """Neighbours of the remaining queries: blocks of at most ``block`` queries against blocks of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qv, oi, ov in zip(*(batch.column(c).to_pylist() for c in ("qids", "qvecs", "ids", "vecs")), strict=True):
+                ids, own = np.frombuffer(qi, np.int64), np.frombuffer(oi, np.int64)
+                own, first = np.unique(own, return_index=True)
+                q, x = (np.frombuffer(v, np.float32).reshape(-1, dim).astype(np.float64) for v in (qv, ov))
+                sim = q @ x[first].T
+                sim[ids[:, None] == own[None, :]] = -np.inf
                 n = min(k, sim.shape[1])
                 cutoff = -np.partition(-sim, n - 1, axis=1)[:, n - 1]
                 i, j = np.nonzero((sim >= cutoff[:, None]) & np.isfinite(sim))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(own[j]), pa.array(sim[i, j])], names=["id", "other", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(sim[i, j])], names=NEAR_NAMES)
 
-        part = classes.select("id", "vec").mapInArrow(run, "id long, other long, cosine double")
-        best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-        part = cut(part.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    queries = _packed(open_, dim, block).select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    return _packed(vectors, dim, 4 * block).crossJoin(queries).mapInArrow(run, NEAR)
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vec_col: str = "embedding", k: int = 5, dim: int = 64, radii: tuple[int, ...] = (1, 2), sample: int = 20_000) -> DataFrame:
+def nearest(df: DataFrame, key: str = "vec_id", vec_col: str = "embedding", k: int = 5, dim: int = 64, sample: int = 20_000, radii: tuple[int, ...] = (1, 2), width: int | None = None) -> DataFrame:
     """(id, other, cosine, rank): the k most similar vectors of every usable vector.
 
-    ``sample`` bounds the vectors that the rotation is learned on (those of the lowest hash of the id).
+    ``sample`` bounds the vectors that the rotation and the centroids are learned on (those of the lowest hash of the id).
     """
-    bits, m = 64, 64 // SUB
-    vectors = cut(unit_vectors(df, key, vec_col, dim))
-    member = vectors.select(F.sha2("vec", 256).alias("same"), "id")
-    low = member.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(vectors.join(low.select(F.col("rep").alias("id"), "copies"), "id"))
-    got = classes.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()
-    coder = df.sparkSession.sparkContext.broadcast(fit_coder(np.frombuffer(b"".join(map(bytes, got.vec)), np.float32).reshape(-1, dim), bits))
-    coded = cut(_coded(classes, coder, dim))
-    reach = m * (radii[-1] + 1) - 1
-    pairs, asking = None, coded
+    spark = df.sparkSession
+    units = unit_vectors(df, key, vec_col, dim)
+    same = ["h1", "h2"]
+    hashed = units.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    of_id = hashed.groupBy("id").agg(F.min(F.struct(*same)).alias("v"), F.max(F.struct(*same)).alias("w")).select("id", "v.*", (F.col("v") != F.col("w")).alias("several"))
+    low = of_id.groupBy(*same).agg(F.min("id").alias("rep"))
+    member = cut(of_id.join(low, same).select("id", "rep", "several", *same))
+    # one physical vector stands for each class: rows of other members, and other vectors of an id, are left out
+    copies = member.where("id <> rep").select("id")
+    odd = member.where("several and id = rep").select("id", *same)
+    vectors = units.join(_sized(copies), "id", "left_anti")
+    if not odd.isEmpty():
+        vectors = vectors.join(_sized(odd.select("id", F.col("h1").alias("g1"), F.col("h2").alias("g2"))), "id", "left").where("g1 is null or (g1 = xxhash64(vec) and g2 = hash(vec))").select("id", "vec")
+    n = member.where("id = rep").count()
+    width = width or width_for(n)
+    got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()
+    x = np.unique(np.frombuffer(b"".join(map(bytes, got.vec)), np.float32).reshape(-1, dim), axis=0)
+    coder = spark.sparkContext.broadcast(fit_coder(x, M * width, cells=min(4096, max(1, n // 256))))
+    coded = cut(_coded(vectors, coder, dim).dropDuplicates(["id"]))
+    crowded = [r.c for r in coded.select(F.explode(F.array("c1", "c2")).alias("c")).groupBy("c").count().where(F.col("count") > MAX_CELL).collect()]  # of at most 4096 cells
+    pairs, asking, reach = [], coded, M * (radii[-1] + 1) - 1
     for i, radius in enumerate(radii):
-        new = _probe(asking, coded, radius, m, reach, symmetric=i == 0)
-        pairs = cut(new if pairs is None else pairs.unionByName(new).distinct())
-        sure = m * (radius + 1) - 1  # every code within this distance has been found
-        found = pairs.where(F.col("h") <= sure).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        asking = cut(coded.join(found, "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "code"))
-    cosines = _cosines(pairs.select("a", "b").distinct(), classes, dim)
-    both = cosines.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))).alias("p")).select("p.*")
-    rest = _exact(classes.join(asking.select("id"), "id"), classes, k, dim)
-    if rest is not None:
-        both = both.unionByName(rest).distinct()
+        pairs.append(cut(_probe(asking, coded, width, radius, reach, symmetric=i == 0)))
+        sure = M * (radius + 1) - 1  # every code within this distance has been found
+        near = pairs[-1].where(F.col("h") <= sure).select("a", "b").distinct() if i else pairs[-1].where(F.col("h") <= sure)
+        found = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        asking = cut(asking.join(found, "id", "left").where(F.coalesce("n", F.lit(0)) < k).select(*coded.columns))
+    every = reduce(DataFrame.unionByName, pairs)
+    apart = F.col("cell").isin([-1, *crowded])
+    both = _in_cells(every.where(~apart), vectors, coder, dim, k).unionByName(_by_id(every.where(apart), vectors, dim))
+    if not asking.isEmpty():
+        both = both.unionByName(_exact(vectors.join(_sized(asking.select("id")), "id", "left_semi"), vectors, k, dim))
     by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    near = both.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).drop("r")
+    best = cut(both.distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= k))
     # from classes to vectors: of each class only its k + 1 lowest ids can be among a vector's k best
-    first = member.withColumn("i", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("i") <= k + 1).join(low.select("same", "rep"), "same").select("rep", F.col("id").alias("other"))
-    own = low.where("copies > 1").select(F.col("rep").alias("id"), F.col("rep").alias("at"), F.lit(1.0).alias("cosine"))
-    targets = near.select("id", F.col("other").alias("at"), "cosine").unionByName(own).join(first.withColumnRenamed("rep", "at"), "at").select(F.col("id").alias("rep"), "other", "cosine")
-    asked = member.join(low.select("same", "rep"), "same").select("rep", "id")
-    rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return asked.join(targets, "rep").where("id <> other").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+    several = member.join(_sized(copies.join(member, "id").select("rep").distinct()), "rep", "left_semi").select("rep", "id")
+    first = several.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("i") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
+    own = first.select(F.col("rep").alias("id"), F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
+    targets = best.select("id", "other", "cosine").unionByName(own).join(_sized(first.withColumnRenamed("rep", "other")), "other", "left").select("id", F.explode(F.coalesce("ids", F.array("other"))).alias("other"), "cosine")
+    short = targets.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).drop("r")
+    asked = short.join(_sized(several.select(F.col("rep").alias("id"), F.col("id").alias("asked"))), "id", "left").select(F.coalesce("asked", "id").alias("id"), "other", "cosine")
+    return asked.where("id <> other").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
 
 
 def neighbour_pairs(neighbours: DataFrame) -> DataFrame:
