@@ -7,12 +7,14 @@ position and 128-bit parity filters gives candidates, which 512-bit parities thi
 hash) is indexed over the classes that are still candidates, and only pairs that both orders give are verified on
 the full sets.
 
-The frequencies come from a sketch of 2^``sketch_bits`` counters over all records: its size is fixed, a collision
-only moves a token within the order, which any order survives. Nothing is capped: every pair of classes at or above
-the threshold comes out, equal sets form one class with a membership table.
+The frequencies come from a sketch over all records with about a counter per token up to 2^26 counters of one byte,
+the logarithm of the count: beyond that several tokens share a counter, whose sum still tells common phrases from the
+rest, and a token only moves within the order, which any order survives. The postings are exchanged in as many
+partitions as they fill at ``POSTINGS`` rows each. Nothing is capped: every pair of classes at or above the threshold
+comes out, equal sets form one class with a membership table.
 
 Defined results: records below ``min_words`` words (null and empty ones too) take no part; redelivered rows
-count once; ties don't arise. Token hashes have 52 bits, sets are told apart by 64 bits.
+count once; ties don't arise. Token hashes have 52 bits (44 in postings), sets are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -22,19 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut, sweep
 from . import sketch
 from .textkit import DIGIT, LETTER, TextBatch, map_texts, mix
 
-#: Exact copies of one text up to which all pairs among them are written out; beyond it each copy is paired with the lowest id.
-EXPAND = 1000
+ONCE = int(sketch.code(np.array([1]))[0])
 #: Words of 64 bits of the parities that thin out the candidates.
 PARITY = 8
 #: Rows below which a side is broadcast.
 BROADCAST_ROWS = 200_000
+#: Postings of a partition of their exchange, and characters of text for one token.
+POSTINGS, CHARS_PER_TOKEN = 750_000, 6
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,6 @@ class Spec:
     threshold: float = 0.7
     shingle: int = 3
     min_words: int = 30
-    sketch_bits: int = 24
 
     @property
     def per_mille(self) -> int:
@@ -116,12 +118,12 @@ def _words(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), record.alias("t"))
 
 
-def _survey(rows: DataFrame, spec: Spec) -> DataFrame:
+def _survey(rows: DataFrame, spec: Spec, bits: int) -> DataFrame:
     """One pass: (sig, id, n, parity, text hash) of every record, and the blocks of the frequency sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << spec.sketch_bits, np.uint8)
-        mask = np.uint64((1 << spec.sketch_bits) - 1)
+        table = sketch.empty(bits)
+        mask = np.uint64((1 << bits) - 1)
 
         def one(part: pa.RecordBatch, b: TextBatch) -> pa.RecordBatch:
             row, tokens, n = token_sets(b, spec)
@@ -144,7 +146,7 @@ def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequencies.value
-        mask = np.uint64((1 << spec.sketch_bits) - 1)
+        mask = np.uint64(len(table) - 1)
         seen: set[int] = set()
 
         def one(part: pa.RecordBatch, b: TextBatch) -> pa.RecordBatch:
@@ -155,19 +157,19 @@ def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
                 if (s := int(sig[i])) not in seen:
                     seen.add(s)
                     new[i] = True
-            df = table[(tokens & mask).astype(np.int64)]
-            at, pos = _prefix(row, tokens, n, df, 0, spec.per_mille)
-            keep = (df[at] > 1) & new[row[at]]
+            often = table[(tokens & mask).astype(np.int64)]
+            at, pos = _prefix(row, tokens, n, often, 0, spec.per_mille)
+            keep = (often[at] > ONCE) & new[row[at]]
             at, pos = at[keep], pos[keep]
             low, high = parities(row, tokens, b.size, 2).view(np.int64).T
             r = row[at]
             ids = np.asarray(part.column("id")).astype(np.int64)
-            token = (tokens[at] >> np.uint64(20)).astype(np.uint32).view(np.int32)
+            token = (tokens[at] >> np.uint64(8)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids[r], n[r].astype(np.int32), pos.astype(np.int32), low[r], high[r])], names=["token", "sig", "n", "pos", "b0", "b1"])
 
         yield from map_texts("t", one)(batches)
 
-    return rows.mapInArrow(run, "token int, sig long, n int, pos int, b0 long, b1 long")
+    return rows.mapInArrow(run, "token long, sig long, n int, pos int, b0 long, b1 long")
 
 
 def _candidates(postings: DataFrame, spec: Spec, parity: bool) -> DataFrame:
@@ -203,14 +205,13 @@ def _records(rows: DataFrame, ids: DataFrame, spec: Spec, frequencies) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequencies.value
-        mask = np.uint64((1 << spec.sketch_bits) - 1)
+        mask = np.uint64(len(table) - 1)
 
         def one(part: pa.RecordBatch, b: TextBatch) -> pa.RecordBatch:
             row, tokens, n = token_sets(b, spec)
-            df = table[(tokens & mask).astype(np.int64)]
-            magnitude = np.floor(np.log10(np.maximum(df, 1))).astype(np.int64)
-            at, pos = _prefix(row, tokens, n, magnitude, 1, spec.per_mille)
-            keep = df[at] > 1
+            often = table[(tokens & mask).astype(np.int64)]
+            at, pos = _prefix(row, tokens, n, often // 27, 1, spec.per_mille)  # 27 steps of the codes are a factor of ten
+            keep = often[at] > ONCE
             at, pos = at[keep], pos[keep]
             token = (tokens[at] >> np.uint64(20)).astype(np.uint32).view(np.int32)
             offsets = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32))
@@ -248,15 +249,18 @@ def _verify(pairs: DataFrame, records: DataFrame, spec: Spec) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
-def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec(), sketch_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal records (a, b, similarity), and the membership (sig, id, exact) of all that take part.
 
     A class is named by its lowest id; ``exact`` is a hash of the text, which tells equal texts from equal sets.
+    ``sketch_bits`` sets the size of the sketch instead of the amount of text.
     """
     rows = _words(df, key, texts)
-    survey = cut(_survey(rows, spec))
+    tokens = (rows.agg(F.sum(F.length("t")).alias("c")).first().c or 0) // CHARS_PER_TOKEN
+    bits = sketch_bits or sketch.bits_for(tokens)
+    survey = cut(_survey(rows, spec, bits))
     spark = df.sparkSession
-    frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), spec.sketch_bits))
+    frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), bits))
     # a class of equal sets goes by its lowest id from here on
     equal = survey.where("sig is not null").groupBy(F.col("sig").alias("same"), "id").agg(F.min("exact").alias("exact"))
     low = equal.groupBy("same").agg(F.min("id").alias("sig"))
@@ -266,7 +270,8 @@ def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec()) -> tup
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sweep(spark)
     singles = rows.join(F.broadcast(copies) if few else copies, "id", "left_anti")
-    pairs = cut(_candidates(_postings(singles, spec, frequencies), spec, parity=True))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * (1 - spec.threshold)) // POSTINGS)
+    pairs = cut(_candidates(_postings(singles, spec, frequencies).repartition(parts, "token"), spec, parity=True))
     sweep(spark)
     pairs = cut(_thinned(pairs, classes, spec))
     sweep(spark)
@@ -284,7 +289,7 @@ def _only(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
     slot = lambda column: (mix(np.asarray(column).astype(np.int64).view(np.uint64)) & mask).astype(np.int64)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint8)
+        table = sketch.empty(bits)
         for batch in batches:
             table[slot(batch.column("id"))] = 1
         for i, data in sketch.blocks(table):
@@ -299,11 +304,11 @@ def _only(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
     return rows.mapInArrow(run, "id long, t string")
 
 
-def expanded(link: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFrame:
+def expanded(link: DataFrame, members: DataFrame, copies: str = "pairs") -> DataFrame:
     """Pairs of ids (a < b): links between all members of linked classes, and between the members of a class.
 
-    Only more than ``limit`` exact copies of one text are folded: among themselves they are written as pairs with their
-    lowest id, through which the rest follows. Pairs of different texts are all written.
+    ``copies`` says what is written for exact copies of one text: all pairs among them, or with "star" one pair of each
+    copy with the lowest id, through which the rest follows. Pairs of different texts are all written either way.
     """
     text = ["sig", "exact"]
     pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -314,6 +319,7 @@ def expanded(link: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFr
     g = groups.select("sig", F.col("exact").alias("e")).join(groups.select("sig", F.col("exact").alias("f")), "sig").where("e < f")
     within = pair(g.join(member("sig", "x", F.col("exact").alias("e")), ["sig", "e"]).join(member("sig", "y", F.col("exact").alias("f")), ["sig", "f"]))
     several = members.join(groups.where("copies > 1"), text)
-    ends: Column = (F.col("copies") <= limit) | (F.col("id") == F.col("lowest"))
-    x, y = several.where(ends).select(*text, F.col("id").alias("a")), several.select(*text, F.col("id").alias("b"))
+    if copies == "star":
+        return across.unionByName(within).unionByName(several.where("id <> lowest").select(F.col("lowest").alias("a"), F.col("id").alias("b")))
+    x, y = several.select(*text, F.col("id").alias("a")), several.select(*text, F.col("id").alias("b"))
     return across.unionByName(within).unionByName(x.join(y, text).where("a < b").select("a", "b"))

@@ -47,8 +47,6 @@ _PAUSES = np.array(sorted(map(ord, ",;:")), np.uint32)
 W3, W2, W1, C3, C2, WORD, PREFIX, DOTTED = range(1, 9)
 #: Tokens of the line above up to which a line without a bullet counts as a list's.
 SHORT_LINE = 8
-#: Bits of the filter of end keys: at least, and at most (its size, and what is broadcast, are bounded by the latter).
-FILTER_BITS = (20, 26)
 
 
 def _key(x: np.ndarray, salt: int) -> np.ndarray:
@@ -228,12 +226,11 @@ def word_hashes(texts: list[str]) -> np.ndarray:
 
 def _filter(ends: DataFrame):
     """A broadcast table of 2^bits bytes that marks the keys of the ends; a collision only lets a needless key through."""
-    low, high = FILTER_BITS
-    bits = min(high, max(low, int(8 * len(SLOTS) * ends.count()).bit_length()))
+    bits = sketch.bits_for(8 * len(SLOTS) * ends.count())
     mask = np.uint64((1 << bits) - 1)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint8)
+        table = sketch.empty(bits)
         for batch in batches:
             for column in batch.columns:
                 table[(np.asarray(column).view(np.uint64) & mask).astype(np.int64)] = 1
