@@ -45,6 +45,8 @@ _OPENERS = np.array(sorted(map(ord, "([{\"'“‘«")), np.uint32)
 _PAUSES = np.array(sorted(map(ord, ",;:")), np.uint32)
 #: Salts of the key spaces.
 W3, W2, W1, C3, C2, WORD, PREFIX, DOTTED = range(1, 9)
+#: Characters that are scanned at once; a longer text is scanned as a whole.
+SLICE = 500_000
 #: Tokens of the line above up to which a line without a bullet counts as a list's.
 SHORT_LINE = 8
 
@@ -63,6 +65,18 @@ def body_of(text: str) -> tuple[str, int]:
     return body[: m.start()].rstrip(_BLANKS), 2 if m.group(0).startswith(("…", "�")) else 1
 
 
+def last_lines(body: str) -> str:
+    """From the start of the last line that isn't blank above the last one: all that the end's windows depend on."""
+    at = len(body)
+    for _ in range(2):
+        at = body.rfind("\n", 0, at)
+        while at >= 0 and not body[body.rfind("\n", 0, at) + 1 : at].strip():
+            at = body.rfind("\n", 0, at)
+        if at < 0:
+            return body
+    return body[at + 1 :]
+
+
 def row_verdict(body: str) -> int:
     """1: the last row's delimiters are a strict prefix of those of the fullest of three rows above; 2: they are all there, or
     columns are set by blanks, where cells may be missing; 0: no table."""
@@ -199,9 +213,9 @@ def text_ends(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", SLICE):
                 texts, bodies, marks = _bodies(part)
-                u = units(TextBatch(bodies))
+                u = units(TextBatch([last_lines(x) for x in bodies]))
                 if u is None:
                     continue
                 at = np.flatnonzero(u.final)
@@ -251,7 +265,7 @@ def _occurrences(docs: DataFrame, ends: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = present.value
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", SLICE):
                 u = units(TextBatch(_bodies(part)[1]))
                 if u is None:
                     continue
@@ -291,7 +305,7 @@ def strict_prefixes(docs: DataFrame) -> DataFrame:
     Distinct texts are range-partitioned and sorted; only the first and last text of each partition are compared
     across partitions.
     """
-    bare = F.regexp_replace("t", r"(?:…|\.{3,}|�)?\s*$", "")
+    bare = F.rtrim(F.col("t"), F.lit("…� \t\r\n"))
     texts = docs.select(bare.alias("t"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2")).where("t <> ''").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +385,7 @@ def judged(df: DataFrame, key: str = "doc_id", text_col: str = "text", source_co
     ``evidence`` is what decided: window, word, row and copy are joins by prefix; limit, mark and unsupported are not;
     null for whole texts.
     """
-    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("t")).where("doc is not null and length(regexp_replace(t, '[\\\\s\\\\p{Z}]+', '')) > 0")
+    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("t")).where("doc is not null and t rlike '[^\\\\s\\\\p{Z}]'")
     seen = cut(_first_verdicts(docs).select("doc", "source", "n", "octets", "first"))
 
     # lengths in characters and in bytes at which a source's texts were cut far more often than at those around
