@@ -174,7 +174,7 @@ def _ways(width: int, radius: int) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _probe(queries: DataFrame, index: DataFrame, width: int, radius: int, reach: int, symmetric: bool) -> DataFrame:
+def _probe(queries: DataFrame, index: DataFrame, width: int, radius: int, reach: int, symmetric: bool, n: int = 0) -> DataFrame:
     """(cell, a, b, h) with a < b: codes that differ in at most ``radius`` bits of some substring and ``reach`` in all; cell -1: none in common.
 
     Exchanged are (key, id, code, cells): per substring and half the half's value, for queries with its flips. If the
@@ -242,7 +242,7 @@ def _probe(queries: DataFrame, index: DataFrame, width: int, radius: int, reach:
                         if len(u):
                             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(u), pa.array(v), pa.array(far)], names=names)
 
-    return sent.repartition("g").mapInArrow(run, "cell int, a long, b long, h int")
+    return _exchanged(sent, n // 65_536, "g").mapInArrow(run, "cell int, a long, b long, h int")
 
 
 def _best(ids: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> pa.RecordBatch:
@@ -258,8 +258,8 @@ def _best(ids: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> pa.
 NEAR, NEAR_NAMES = "id long, other long, cosine double", ["id", "other", "cosine"]
 
 
-def _in_cells(pairs: DataFrame, vectors: DataFrame, coder, dim: int, k: int) -> DataFrame:
-    """The k best of each id in each cell, of the pairs that meet in a cell."""
+def _in_cells(pairs: DataFrame, vectors: DataFrame, coder, dim: int, k: int, n: int) -> DataFrame:
+    """The k best of each id in each task, of the pairs that meet in a cell; ``n`` is the number of vectors."""
     asked = pairs.select("cell", "a", "b")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,22 +272,34 @@ def _in_cells(pairs: DataFrame, vectors: DataFrame, coder, dim: int, k: int) ->
 
     placed = vectors.select("id", "vec").mapInArrow(spread, "cell int, id long, vec binary")
 
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([_best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)])
-        ids, at = np.unique(np.asarray(right.column("id").combine_chunks()), return_index=True)  # a redelivered row counts once
-        x = _matrix(right.column("vec"), dim)[at]
-        a, b = (np.asarray(left.column(c).combine_chunks()) for c in ("a", "b"))
-        place = np.unique(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b))  # both probings may have found a pair
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        is_pair = pc.is_valid(t.column("b"))
+        right, left = t.filter(pc.invert(is_pair)), t.filter(is_pair)
+        ids, at = np.unique(np.asarray(right.column("a").combine_chunks()), return_index=True)  # a redelivered row counts once
+        a, b = (np.searchsorted(ids, np.asarray(left.column(c).combine_chunks())) for c in ("a", "b"))
+        place = np.unique(a * len(ids) + b)  # both probings may have found a pair
+        if not len(place):
+            return
         i, j = place // len(ids), place % len(ids)
-        a, b = ids[i], ids[j]
-        cosine = np.empty(len(a))
-        for p in range(0, len(a), 100_000):
-            s = slice(p, p + 100_000)
+        x = _matrix(right.column("vec"), dim)[at]
+        cosine = np.empty(len(i))
+        for p in range(0, len(i), 50_000):
+            s = slice(p, p + 50_000)
             cosine[s] = np.einsum("ij,ij->i", x[i[s]].astype(np.float64), x[j[s]].astype(np.float64))
-        return pa.Table.from_batches([_best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine]), k)])
+        yield _best(np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.concatenate([cosine, cosine]), k)
+
+    none = lambda t: F.lit(None).cast(t)
+    rows = asked.select("cell", "a", "b", none("binary").alias("vec")).unionByName(placed.select("cell", F.col("id").alias("a"), none("long").alias("b"), "vec"))
+    return _exchanged(rows, n // 16_384, "cell").mapInArrow(rank, NEAR)
+
 
-    return asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(rank, NEAR)
+def _exchanged(df: DataFrame, parts: int, by: str) -> DataFrame:
+    """By hash of a column, in the session's number of partitions or in more where that many rows need them."""
+    return df.repartition(parts, by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(by)
 
 
 def _by_id(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -369,14 +381,14 @@ def nearest(df: DataFrame, key: str = "vec_id", vec_col: str = "embedding", k: i
     crowded = [r.c for r in coded.select(F.explode(F.array("c1", "c2")).alias("c")).groupBy("c").count().where(F.col("count") > MAX_CELL).collect()]  # of at most 4096 cells
     pairs, asking, reach = [], coded, M * (radii[-1] + 1) - 1
     for i, radius in enumerate(radii):
-        pairs.append(cut(_probe(asking, coded, width, radius, reach, symmetric=i == 0)))
+        pairs.append(cut(_probe(asking, coded, width, radius, reach, i == 0, n)))
         sure = M * (radius + 1) - 1  # every code within this distance has been found
         near = pairs[-1].where(F.col("h") <= sure).select("a", "b").distinct() if i else pairs[-1].where(F.col("h") <= sure)
         found = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
         asking = cut(asking.join(found, "id", "left").where(F.coalesce("n", F.lit(0)) < k).select(*coded.columns))
     every = reduce(DataFrame.unionByName, pairs)
     apart = F.col("cell").isin([-1, *crowded])
-    both = _in_cells(every.where(~apart), vectors, coder, dim, k).unionByName(_by_id(every.where(apart), vectors, dim))
+    both = _in_cells(every.where(~apart), vectors, coder, dim, k, n).unionByName(_by_id(every.where(apart), vectors, dim))
     if not asking.isEmpty():
         both = both.unionByName(_exact(vectors.join(_sized(asking.select("id")), "id", "left_semi"), vectors, k, dim))
     by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
