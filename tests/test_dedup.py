@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions.text import words
@@ -62,6 +63,19 @@ def test_near_dedup_equals_the_greedy_loop(spark):
     assert edges == {k for k, v in sim.items() if v >= 0.85}
     rich = [(i, t, len(t) + (200 if h else 0)) for i, t, h in rows]
     assert {r.chunk_ord for r in dedup.near_dedup(df).collect()} == greedy(rich, sim, 0.85)
+    # all components in rounds of joins
+    assert {r.chunk_ord for r in dedup.near_dedup(df, most=0).collect()} == greedy(rich, sim, 0.85)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_equal_the_greedy_loop(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)})
+    rows = [(i, "", rng.randrange(5)) for i in range(n)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    got = {r.i for r in dedup._rounds(e, spark.createDataFrame([(i, r) for i, _, r in rows], "i long, rich long")).collect()}
+    assert set(range(n)) - got == greedy(rows, dict.fromkeys(edges, 1.0), 0.85)
 
 
 def test_bands_miss_nothing():

@@ -8,9 +8,8 @@ QUERY = "query_id long, question string, query_vec array<double>, top_k int, alp
 
 def bm25(spark, docs, question):
     c = spark.createDataFrame(list(enumerate(docs)), "chunk_ord long, content string")
-    post, stats = retrieve.postings(c), retrieve.corpus_stats(c)
     q = spark.createDataFrame([(1, question, None, None, None)], QUERY)
-    return {r.chunk_ord: (r.score, r.norm) for r in retrieve.bm25_scores(q, post, stats, retrieve.inverse_frequencies(post, stats)).collect()}
+    return {r.chunk_ord: (r.score, r.norm) for r in retrieve.bm25_scores(q, retrieve.TermIndex.build(c)).collect()}
 
 
 def test_bm25(spark):
@@ -44,6 +43,13 @@ def test_dense_skips_unusable_vectors(spark):
     assert retrieve.dense_topk(q.limit(0), v, 5).count() == 0
 
 
+def test_dense_only_without_a_term_index(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "chunk_ord long, embedding array<double>")
+    q = spark.createDataFrame([(1, "q", [1.0, 0.0], 2, 0.1)], QUERY)
+    got = retrieve.hybrid_search(q, v, None).orderBy("rank").collect()
+    assert [(r.chunk_ord, r.score) for r in got] == [(0, 1.0), (1, 0.7071)]
+
+
 def test_parents(spark):
     hits = spark.createDataFrame([(1, i, p, f"c{i}") for i, p in enumerate(["p1", "p1", None, "x", "x"], 1)], "query_id long, rank int, parent_id string, content string")
     parents = spark.createDataFrame([("p1", "P")], "parent_id string, content string")

@@ -92,5 +92,5 @@ def test_stitching(spark):
     rows = [("d", p, 0, 10.0, 90.0, [72.0, 200.0], [["h", "k"], ["1", str(p)], ["2", "x"]]) for p in (1, 2)] + [("d", 5, 0, 10.0, 90.0, [72.0, 200.0], [["h", "k"], ["3", "y"]])]
     f = spark.createDataFrame(rows, "doc_id string, page int, table_ord int, top double, bottom double, col_xs array<double>, rows array<array<string>>")
     got = sorted((r.table_id, r.pages, len(r.rows)) for r in tables.stitch(f).collect())
-    assert got == [("p1_t0", [1, 2], 4), ("p5_t0", [5], 1)]
+    assert got == [("p1_t1", [1, 2], 4), ("p5_t2", [5], 1)]  # tables are counted through the document
     assert tables.table_chunks(tables.stitch(f)).count() == 2 + 5

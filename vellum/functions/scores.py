@@ -12,9 +12,11 @@ BOILERPLATE = (
     r"^(page\s+)?\d{1,4}(\s+of\s+\d{1,4})?$", r"^table of contents$", r"^\s*\.{3,}\s*\d+\s*$",
     r"^(copyright|©|all rights reserved)", r"^(this page intentionally left blank)", r"^(draft|confidential|internal use only)$",
 )
+# Weights of the dimensions.
 WEIGHTS = {"length_score": 0.15, "entropy_score": 0.20, "alpha_ratio": 0.15, "uniqueness_score": 0.15, "coherence_score": 0.10, "boilerplate_score": 0.25}
 
 
+# The steps of the score by number of words.
 def length_score(n: Column) -> Column:
     return F.when(n < 10, 0.0).when(n <= 50, 0.5 + 0.5 * n / 50).when(n <= 500, 1.0).when(n <= 2000, 1.0 - 0.3 * (n - 500) / 1500).otherwise(0.3)
 

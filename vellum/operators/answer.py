@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import cut
+
 NOTHING_FOUND = "No relevant content found for your question."
 
 
@@ -25,6 +27,7 @@ def contexts(cited: DataFrame, content_col: str = "content") -> DataFrame:
     return cited.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
+# The wording of the prompt.
 def prompt(question: Column, context: Column) -> Column:
     return F.concat(
         F.lit("Context (retrieved from the document):\n\n"), context, F.lit("\n\n---\n\nQuestion: "), question,
@@ -44,3 +47,16 @@ def chat_bucket(now_ms: Column, created_ms: Column) -> Column:
 
 def chat_title(first_question: Column) -> Column:
     return F.coalesce(F.when(F.length(first_question) > 0, F.substring(first_question, 1, 50)), F.lit("New chat"))
+
+
+def chats(messages: DataFrame) -> DataFrame:
+    """(chat_id, title, n_messages, created, updated, place) of messages (chat_id, at, ts, content), latest chats first; ``at`` orders messages.
+
+    The places come from a range sort and the sizes of its partitions, so no task holds all chats.
+    """
+    c = messages.groupBy("chat_id").agg(chat_title(F.min_by("content", "at")).alias("title"), F.count(F.lit(1)).alias("n_messages"), F.min("ts").alias("created"), F.max("ts").alias("updated"))
+    parts = cut(c.repartitionByRange(F.desc("updated"), F.asc("chat_id")).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("updated"), "chat_id"))
+    return parts.withColumn("r", within).join(F.broadcast(before), "part").withColumn("place", F.col("r") + F.col("before")).drop("part", "r", "before")

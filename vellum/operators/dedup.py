@@ -1,22 +1,25 @@
 """Quality split, exact and near duplicates of chunks.
 
 Near duplicates replay the sequential greedy elimination exactly: MinHash bands find every pair at or above the
-threshold, the pairs' connected components are independent, and the replay runs within each of them.
+threshold, the pairs' connected components are independent, and the replay runs within each of them. The default hash family of
+the signatures is multiply-shift; the md5 family of the original behaviour is an option.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import quality
 from ..functions.text import jaccard, shingles, strip, words
-from ..plans.durable import cut
+from ..plans.durable import cut, release
 from .graph import components
 
 
@@ -41,36 +44,71 @@ def exact_dedup(chunks: DataFrame, text_col: str = "content", order_col: str = "
     return chunks.join(first.select(F.col("__first").alias(order_col)), order_col, "left_semi")
 
 
-def _slots(text: str, n: int, k: int, md5: bool) -> list[int]:
+def _md5_slots(text: str, n: int, k: int) -> list[int]:
     tokens = text.split("\x00") if text else []
     grams = {" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} or ({" ".join(tokens)} if tokens else set())
     if not grams:
         return [0] * n
-    if md5:
-        salts = [i.to_bytes(2, "big") for i in range(n)]
-        best = [1 << 32] * n
-        for g in grams:
-            state = hashlib.md5(g.encode())
-            for i, s in enumerate(salts):
-                h = state.copy()
-                h.update(s)
-                best[i] = min(best[i], int.from_bytes(h.digest()[:4], "big"))
-        return best
-    h = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams], np.uint64)
+    salts = [i.to_bytes(2, "big") for i in range(n)]
+    best = [1 << 32] * n
+    for g in grams:
+        state = hashlib.md5(g.encode())
+        for i, s in enumerate(salts):
+            h = state.copy()
+            h.update(s)
+            best[i] = min(best[i], int.from_bytes(h.digest()[:4], "big"))
+    return best
+
+
+def _affine_minima(hashes: pa.Array, n: int) -> pa.Array:
+    """For each list of 64-bit hashes the least upper half of a * h + b for n fixed pairs (a, b); zeros for an empty list."""
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 62, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, n, np.uint64)
-    with np.errstate(over="ignore"):
-        return ((h[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.int64).tolist()
+    size = np.asarray(pc.fill_null(pc.list_value_length(hashes), 0))
+    h = np.asarray(pc.list_flatten(hashes)).view(np.uint64)
+    out = np.zeros((len(size), n), np.int64)
+    ends = np.cumsum(size)
+    some = np.flatnonzero(size)
+    step = ends[some] // 65_536  # lists in groups of bounded size, so the products stay in cache
+    for group in np.split(some, np.flatnonzero(np.diff(step)) + 1) if len(some) else []:
+        first = ends[group[0]] - size[group[0]]
+        part = h[first : ends[group[-1]]]
+        starts = ends[group] - size[group] - first
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                out[group, i] = (np.minimum.reduceat(part * a[i] + b[i], starts) >> np.uint64(32)).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * n), pa.array(out.reshape(-1)))
 
 
 def minhash(tokens: Column, n: int = 128, k: int = 3, md5: bool = False) -> Column:
-    """n slots of 32 bits: minima over the k-shingles, of md5(shingle, slot number) or of multiply-shift hashes; zeros for no tokens."""
+    """n slots of 32 bits: minima over the k-shingles, of md5(shingle, slot number) or of multiply-shift hashes; zeros for no tokens.
+
+    The multiply-shift family hashes each shingle once, in the JVM; md5 hashes it n times, in Python.
+    """
+    if md5:
+
+        @F.pandas_udf("array<bigint>")
+        def signature(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: _md5_slots(t or "", n, k))
+
+        return signature(F.array_join(tokens, "\x00"))
+
+    @F.arrow_udf("array<bigint>")
+    def minima(hashes: pa.Array) -> pa.Array:
+        return _affine_minima(hashes, n)
+
+    return minima(F.transform(shingles(tokens, k), lambda g: F.xxhash64(g)))
 
-    @F.pandas_udf("array<bigint>")
-    def signature(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _slots(t or "", n, k, md5))
 
-    return signature(F.array_join(tokens, "\x00"))
+def _signed(df: DataFrame, n: int) -> DataFrame:
+    """The hashes of ``sig`` replaced by their n minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("sig")
+            yield b.set_column(at, "sig", _affine_minima(b.column(at), n))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def bands_for(threshold: float, n: int = 128) -> int:
@@ -88,14 +126,17 @@ def richness(chunks: DataFrame, text_col: str = "content") -> Column:
     )
 
 
-def duplicate_edges(chunks: DataFrame, threshold: float = 0.85, n: int = 128, md5: bool = False, exact: bool = False, text_col: str = "content", order_col: str = "chunk_ord") -> DataFrame:
+def duplicate_edges(chunks: DataFrame, threshold: float = 0.85, n: int = 128, md5: bool = False, exact: bool = False, text_col: str = "content", order_col: str = "chunk_ord", k: int = 3) -> DataFrame:
     """(a, b, similarity) with a < b: pairs at or above the threshold whose token counts are within a factor of two.
 
     The bands' pairs are complete for the MinHash similarity. The replay needs every edge, so exact copies should be
     removed first (``exact_dedup``): they are what makes buckets hot.
     """
-    toks = words(F.col(text_col))
-    s = cut(chunks.select(F.col(order_col).alias("i"), toks.alias("tokens"), minhash(toks, n, 3, md5).alias("sig")).where(F.size("tokens") > 0).withColumn("n", F.size("tokens")))
+    base = chunks.select(F.col(order_col).alias("i"), words(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+    if md5:
+        s = cut(base.select("i", "tokens", minhash(F.col("tokens"), n, k, md5).alias("sig"), F.size("tokens").alias("n")))
+    else:
+        s = cut(_signed(base.select("i", *(["tokens"] if exact else []), F.size("tokens").alias("n"), F.transform(shingles(F.col("tokens"), k), lambda g: F.xxhash64(g)).alias("sig")), n))
     bands = bands_for(threshold, n)
     edges = [n * j // bands for j in range(bands + 1)]
     key = F.array(*(F.struct(F.lit(j).alias("band"), F.xxhash64(F.slice("sig", edges[j] + 1, edges[j + 1] - edges[j])).alias("h")) for j in range(bands)))
@@ -103,11 +144,11 @@ def duplicate_edges(chunks: DataFrame, threshold: float = 0.85, n: int = 128, md
     a, b = banded.alias("a"), banded.alias("b")
     near = F.expr("a.band = b.band and a.h = b.h and a.i < b.i and least(a.n, b.n) * 2 >= greatest(a.n, b.n)")
     pairs = a.join(b, near).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    left = s.select(F.col("i").alias("a"), F.col("sig").alias("sa"), F.col("tokens").alias("ta"))
-    right = s.select(F.col("i").alias("b"), F.col("sig").alias("sb"), F.col("tokens").alias("tb"))
+    side = lambda x: s.select(F.col("i").alias(x), F.col("sig").alias(f"s{x}"), *([F.col("tokens").alias(f"t{x}")] if exact else []))
+    left, right = side("a"), side("b")
     both = pairs.join(left, "a").join(right, "b")
     if exact:
-        sim = jaccard(shingles(F.col("ta")), shingles(F.col("tb")))
+        sim = jaccard(shingles(F.col("ta"), k), shingles(F.col("tb"), k))
     else:
         sim = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / F.lit(float(n))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -124,17 +165,54 @@ def _replay(group: pa.Table) -> pa.Table:
                 break
             if j not in dead:
                 dead.add(i if rich[j] > rich[i] else j)
-    return pa.table({"i": pa.array([i for i in d["i"] if i in dead], pa.int64())})
+    return pa.table({"i": pa.array([i for i in d["i"] if i in dead], group.schema.field("i").type)})
 
 
-def near_dedup(chunks: DataFrame, threshold: float = 0.85, text_col: str = "content", order_col: str = "chunk_ord", **options) -> DataFrame:
-    """The chunks that the greedy elimination keeps."""
+def _rounds(edges: DataFrame, rich: DataFrame) -> DataFrame:
+    """(i) of the items that the greedy elimination drops, by joins only, whatever the size of a component.
+
+    The elimination takes pairs (a, b) in order. In a round every pair acts that comes first of the living pairs of both
+    its ends: no earlier pair can change what it does. Beyond it, an item all of whose pairs come first for their other
+    ends acts on them at once, up to the one that is richer than itself. Both drop the poorer end, and its pairs.
+    """
+    e = cut(edges.select("a", "b").join(rich.select(F.col("i").alias("a"), F.col("rich").alias("ra")), "a").join(rich.select(F.col("i").alias("b"), F.col("rich").alias("rb")), "b"))
+    gone: DataFrame | None = None
+    while not e.isEmpty():  # the first of all pairs acts in every round
+        pair = F.struct("a", "b")
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("i"), pair.alias("p")), F.struct(F.col("b").alias("i"), pair.alias("p")))).alias("x")).select("x.*")
+        first = ends.groupBy("i").agg(F.min("p").alias("p"))
+        marked = e.join(first.select(F.col("i").alias("a"), F.col("p").alias("pa")), "a").join(first.select(F.col("i").alias("b"), F.col("p").alias("pb")), "b")
+        marked = marked.withColumn("mine", F.col("pb") == pair)
+        # of an item that no earlier pair waits for, the pairs up to the first that another item has first, or that beats it
+        stop = marked.where(~F.col("mine") | (F.col("rb") > F.col("ra"))).groupBy("a").agg(F.min("b").alias("stop"))
+        act = marked.where(F.col("pa.a") == F.col("a")).join(stop, "a", "left").where("mine and (stop is null or b <= stop)")
+        act = cut(act.select("a", "b", F.when(F.col("rb") > F.col("ra"), F.col("a")).otherwise(F.col("b")).alias("i")))
+        dead = act.select("i").distinct()
+        left = e.join(act.select("a", "b"), ["a", "b"], "left_anti")
+        left = cut(left.join(dead.select(F.col("i").alias("a")), "a", "left_anti").join(dead.select(F.col("i").alias("b")), "b", "left_anti"))
+        gone = dead if gone is None else gone.unionByName(dead)
+        release(e)
+        e = left
+    return gone if gone is not None else edges.select(F.col("a").alias("i")).limit(0)
+
+
+def near_dedup(chunks: DataFrame, threshold: float = 0.85, text_col: str = "content", order_col: str = "chunk_ord", most: int = 100_000, **options) -> DataFrame:
+    """The chunks that the greedy elimination keeps.
+
+    Components are replayed one by one within tasks; those with more than ``most`` members, which a task should not
+    hold, in rounds of joins. Both give the same chunks.
+    """
     e = cut(duplicate_edges(chunks, threshold, text_col=text_col, order_col=order_col, **options))
     comp = cut(components(e))
     rich = chunks.select(F.col(order_col).alias("i"), richness(chunks, text_col).cast("long").alias("rich"))
+    large = cut(comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"))
+    own = comp.select(F.col("id").alias("i"), "component")
     others = e.groupBy(F.col("a").alias("i")).agg(F.collect_list("b").alias("others"))
-    members = comp.select(F.col("id").alias("i"), "component").join(rich, "i").join(others, "i", "left")
-    dead = members.groupBy("component").applyInArrow(_replay, "i long")
+    members = own.join(large, "component", "left_anti").join(rich, "i").join(others, "i", "left")
+    dead = members.groupBy("component").applyInArrow(_replay, f"i {chunks.schema[order_col].dataType.simpleString()}")
+    if not large.isEmpty():
+        hot = own.join(large, "component").select("i")
+        dead = dead.unionByName(_rounds(e.join(hot.withColumnRenamed("i", "a"), "a"), rich.join(hot, "i")))
     return chunks.join(dead.select(F.col("i").alias(order_col)), order_col, "left_anti")
 
 

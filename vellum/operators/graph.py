@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut
+from ..plans.durable import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    first = e
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,7 +27,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         same = new.count() == e.count() and new.exceptAll(e).isEmpty()
-        e = new
         if same:
+            release(new)
             break
+        if e is not first:  # the first cut names the nodes
+            release(e)
+        e = new
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -23,23 +23,28 @@ PAGE_CLASSES = (
     ("references", (r"(?i)(?:^|\n)\s*(?:REFERENCES|BIBLIOGRAPHY|WORKS CITED)\s*(?:\n|$)",)),
 )
 NO_CONTENT = ("cover", "title_page", "toc", "blank")
+# A line of a table of contents.
 TOC_LINE = r"^(?:(\d+(?:\.\d+)*)\s+)?(.+?)\s*[.\s]{3,}\s*(\d{1,4})\s*$"
+# Patterns of headings, in the order in which they are tried.
 HEADINGS = (
     ("numbered", r"^(\d+(?:\.\d+)*)\s+([A-Z][^\n]{2,80})$", re.M),
     ("label", r"^(Chapter\s+\d+)[:\s\-–—]*(.{0,80})$", re.M | re.I),
     ("label", r"^(Appendix\s+[A-Z0-9]+)[:\s\-–—]*(.{0,80})$", re.M | re.I),
     ("capitals", r"^([A-Z][A-Z\s,&\-]{8,80})$", re.M),
 )
+# Patterns of captions.
 CAPTIONS = (
     ("figure", r"(?:^|\n)\s*(?:Figure|Fig\.?)\s+(\d+(?:[.\-]\d+)*)[:\.\s\-–—]+([^\n]{5,200})"),
     ("table", r"(?:^|\n)\s*(?:Table|Tbl\.?)\s+(\d+(?:[.\-]\d+)*)[:\.\s\-–—]+([^\n]{5,200})"),
     ("exhibit", r"(?:^|\n)\s*(?:Exhibit)\s+([A-Z]?\d+(?:[.\-]\d+)*)[:\.\s\-–—]+([^\n]{5,200})"),
 )
+# Patterns of references.
 REFERENCES = (
     ("bracket_numeric", r"\[(\d+(?:[,\-–]\s*\d+)*)\]"),
     ("author_year", r"\(([A-Z][a-z]+(?:\s(?:&|and|et\s+al\.?)\s+[A-Z][a-z]+)?,\s*\d{4}[a-z]?)\)"),
     ("footnote", r"(?:^|\s)(\d{1,3})\s+(?=[A-Z])"),
 )
+# Kinds of links by their code.
 LINK_KINDS = {0: "none", 1: "goto", 2: "uri", 3: "launch", 5: "named"}
 
 
@@ -53,9 +58,9 @@ def page_class(text: Column, page: Column, blank_chars: int = 50) -> Column:
     return out.otherwise("body")
 
 
-def classified(pages: DataFrame) -> DataFrame:
+def classified(pages: DataFrame, blank_chars: int = 50) -> DataFrame:
     """Adds category, is_content and text_length to (doc_id, page_num, raw_text)."""
-    c = pages.withColumn("category", page_class(F.col("raw_text"), F.col("page_num")))
+    c = pages.withColumn("category", page_class(F.col("raw_text"), F.col("page_num"), blank_chars))
     return c.withColumn("is_content", ~F.col("category").isin(*NO_CONTENT)).withColumn("text_length", F.length(strip(F.coalesce("raw_text", F.lit("")))))
 
 

@@ -15,10 +15,16 @@ def clean_cell(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{SPACE}+", " "))
 
 
-def clean_rows(rows: Column) -> Column:
-    """Cells with single blanks; rows with fewer than two filled cells are dropped."""
+def clean_rows(rows: Column, least: int = 2) -> Column:
+    """Cells with single blanks; rows with fewer than ``least`` filled cells are dropped."""
     cleaned = F.transform(rows, lambda r: F.transform(r, clean_cell))
-    return F.filter(cleaned, lambda r: F.size(F.filter(r, lambda c: c != "")) >= 2)
+    return F.filter(cleaned, lambda r: F.size(F.filter(r, lambda c: c != "")) >= least)
+
+
+def valid_rows(rows: Column, least: int = 2) -> Column:
+    """The header as it is, with single blanks, and the rows below it with at least ``least`` filled cells."""
+    header = F.transform(F.slice(rows, 1, 1), lambda r: F.transform(r, clean_cell))
+    return F.when(F.size(rows) > 0, F.concat(header, clean_rows(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), least))).otherwise(rows)
 
 
 def page_bands(boxes: Column, height: Column, least: float = 4.0) -> Column:
@@ -82,8 +88,7 @@ def stitch(fragments: DataFrame, overlap: float = 0.60, snap: int = 10) -> DataF
                     into = t
                     break
             if into is None:
-                same = sum(t["pages"][0] == f.page for t in tables)
-                tables.append({"doc_id": f.doc_id, "table_ord": len(tables), "table_id": f"p{f.page}_t{same}", "pages": [f.page], "header": rows[0], "rows": rows[1:], "col_xs": list(f.col_xs), "bottom": f.bottom})
+                tables.append({"doc_id": f.doc_id, "table_ord": len(tables), "table_id": f"p{f.page}_t{len(tables) + 1}", "pages": [f.page], "header": rows[0], "rows": rows[1:], "col_xs": list(f.col_xs), "bottom": f.bottom})
             else:
                 into["rows"] += rows[1:]
                 into["bottom"] = f.bottom
@@ -94,12 +99,13 @@ def stitch(fragments: DataFrame, overlap: float = 0.60, snap: int = 10) -> DataF
     return fragments.groupBy("doc_id").applyInPandas(run, TABLE)
 
 
-def table_chunks(tables: DataFrame, caption_col: str = "caption_label") -> DataFrame:
-    """One chunk for each whole table (row -1) and one per row, each with the header and the caption label if there is one."""
+def table_chunks(tables: DataFrame, caption_col: str = "caption_label", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One chunk for each whole table (row -1) and one per row, each with the header and the caption label if there is one; ``keep`` are columns of the table to carry over."""
     t = tables if caption_col in tables.columns else tables.withColumn(caption_col, F.lit(None).cast("string"))
     label = F.when(F.col(caption_col) != "", F.col(caption_col))
-    base = ["doc_id", "table_ord", "table_id", F.col("pages")[0].alias("page"), "pages", "header"]
+    base = ["doc_id", "table_ord", "table_id", F.col("pages")[0].alias("page"), "pages", "header", *keep]
+    names = ["doc_id", "table_ord", "table_id", "page", "pages", "header", *keep]
     whole = t.select(*base, F.lit(-1).alias("row"), F.concat_ws("\n\n", label, table_text(F.col("header"), F.col("rows"))).alias("content"))
     each = t.select(*base, label.alias("__label"), F.posexplode("rows").alias("row", "cells"))
-    lines = each.select("doc_id", "table_ord", "table_id", "page", "pages", "header", "row", F.concat_ws("\n", "__label", F.array_join("header", " | "), F.array_join("cells", " | ")).alias("content"))
+    lines = each.select(*names, "row", F.concat_ws("\n", "__label", F.array_join("header", " | "), F.array_join("cells", " | ")).alias("content"))
     return whole.unionByName(lines).withColumn("chunk_type", F.lit("table"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a local folder."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and the master is local, a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -23,11 +25,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the files of cuts that nothing reads any more, because a later cut holds what was made of them."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical() if df is not None else None
+        if plan is None or plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more.
 
-    They go when the driver's JVM collects its garbage, which a mostly idle driver may not do for long; after a cut
-    their rows are in the shared folder.
+    They have no path of ours to delete by: Spark removes them when the driver's JVM finds their plans unreachable, which
+    a mostly idle driver may not look for in a long time. After a cut their rows are in the shared folder.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()

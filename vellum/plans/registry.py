@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import answer, chunking, dedup, retrieve, structure, tables
 from ..sources import providers
+from ..config import Settings
+from ..sources.artefacts import Artefacts
 from ..streaming import ingest
+from .durable import ensure_checkpoint_dir
 from .pipeline import assembled, run_stats
-from ..config import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,16 +155,22 @@ EDGES_SQL = f"""SELECT doc_id, side, line, count(*) AS n FROM (
 ) s, LATERAL (SELECT {_FORM('s.x')} AS line) WHERE length(line) > 3 GROUP BY doc_id, side, line"""
 
 
-@query(f"""WITH pages AS ({PAGES_SQL}), p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(raw_text, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS l FROM pages)
-SELECT e.* FROM ({EDGES_SQL}) e JOIN (SELECT doc_id, greatest(3, CAST(floor(count(*) * 0.1) AS INT)) AS least FROM pages GROUP BY doc_id) USING (doc_id) WHERE n >= least""")
+_LINES = lambda x: f"list_transform(string_split(coalesce({x}, ''), chr(10)), lambda x: {_STRIP('x')})"
+HEADS_SQL = f"""pages AS (SELECT doc_id, page_num, raw_text FROM ({RENDER})), p AS (SELECT doc_id, list_filter({_LINES('raw_text')}, lambda x: x <> '') AS l FROM pages),
+edges AS (SELECT e.* FROM ({EDGES_SQL}) e JOIN (SELECT doc_id, greatest(3, CAST(floor(count(*) * 0.3) AS INT)) AS least FROM pages GROUP BY doc_id) USING (doc_id) WHERE n >= least)"""
+
+
+@query(f"WITH {HEADS_SQL} SELECT * FROM edges")
 def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
-    return structure.edge_lines(doc_pages(spark, d), share=0.1)
+    return structure.edge_lines(structured_pages(spark, d))
 
 
-@query()
+@query(f"""WITH {HEADS_SQL}, x AS (SELECT doc_id, page_num, unnest(string_split(raw_text, chr(10))) AS x, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM pages),
+k AS (SELECT x.*, e.line IS NULL AS kept FROM x LEFT JOIN (SELECT DISTINCT doc_id, line FROM edges) e ON e.doc_id = x.doc_id AND e.line = {_FORM('x.x')})
+SELECT doc_id, page_num, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (kept), '') AS text FROM k GROUP BY doc_id, page_num""")
 def strip_headers(spark: SparkSession, d: str) -> DataFrame:
-    p = doc_pages(spark, d)
-    return structure.strip_edge_lines(p, structure.edge_lines(p, share=0.1)).select("doc_id", "page_num", "text")
+    p = structured_pages(spark, d)
+    return structure.strip_edge_lines(p, structure.edge_lines(p)).select("doc_id", "page_num", "text")
 
 
 TOC_SQL = structure.TOC_LINE.replace("'", "''")
@@ -196,11 +204,11 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
     return structure.captions(structured_pages(spark, d)).select("doc_id", "page", "kind", "label", "text")
 
 
-@query(f"""SELECT DISTINCT p_partkey, unnest(['bracket_numeric', 'bracket_numeric', 'author_year']) AS pattern,
-unnest([concat(p_partkey % 7 + 1), concat(p_size, '-', p_size + 2), concat('Smith, ', 1990 + p_size % 30)]) AS match FROM part""")
+@query("""SELECT DISTINCT p_partkey, unnest(['bracket_numeric', 'bracket_numeric', 'author_year', 'footnote']) AS pattern,
+unnest([concat(p_partkey % 7 + 1), concat(p_size, '-', p_size + 2), concat('Smith, ', 1990 + p_size % 30), concat(p_size)]) AS match FROM part""")
 def references(spark: SparkSession, d: str) -> DataFrame:
-    r = structured_pages(spark, d).select("p_partkey", F.explode(structure.references(F.col("raw_text"))).alias("r")).select("p_partkey", "r.*")
-    return r.where("pattern <> 'footnote'")
+    noted = F.concat("raw_text", F.lit("\n"), "p_size", F.lit(" Note of the maker."))
+    return structured_pages(spark, d).select("p_partkey", F.explode(structure.references(noted)).alias("r")).select("p_partkey", "r.*")
 
 
 @query()
@@ -289,11 +297,10 @@ def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     return dedup.with_quality(chunks(spark, d)).select("chunk_ord", "quality.*")
 
 
-@query(f"SELECT quality_score >= 0.9 AS kept, count(*) AS n FROM ({QUALITY_SQL}) GROUP BY 1")
+@query(f"SELECT chunk_ord, quality_score >= 0.9 AS kept FROM ({QUALITY_SQL})")
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
     kept, rejected = dedup.split_by_quality(chunks(spark, d), 0.9)
-    count = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kept"), "n")
-    return count(kept, True).unionByName(count(rejected, False)).where("n > 0")
+    return kept.select("chunk_ord", F.lit(True).alias("kept")).unionByName(rejected.select("chunk_ord", F.lit(False).alias("kept")))
 
 
 @query(f"SELECT min(chunk_ord) AS chunk_ord FROM (SELECT chunk_ord, {_STRIP("coalesce(content, '')")} AS k FROM chunks) GROUP BY k")
@@ -315,12 +322,11 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.shingle_pairs(table(spark, d, "documents"), 0.85, "text", "doc_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH g AS (SELECT query_id, {SHINGLES_SQL} AS g FROM (SELECT query_id, regexp_extract_all(lower(question), '{W}+') AS w FROM queries)),
-h AS (SELECT query_id, i, min(CAST('0x' || md5(encode(s) || unhex(printf('%04X', i)))[1:8] AS BIGINT)) AS v FROM (SELECT query_id, unnest(g) AS s FROM g), (SELECT unnest(range(128)) AS i) GROUP BY ALL)
-SELECT query_id, i::INT AS slot, v FROM h""")
+@query(f"""WITH g AS (SELECT doc_id, {SHINGLES_SQL} AS g FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{W}+') AS w FROM documents)),
+h AS (SELECT doc_id, i, min(CAST('0x' || md5(encode(s) || unhex(printf('%04X', i)))[1:8] AS BIGINT)) AS v FROM (SELECT doc_id, unnest(g) AS s FROM g), (SELECT unnest(range(128)) AS i) GROUP BY ALL)
+SELECT doc_id, i::INT AS slot, v FROM h UNION ALL SELECT doc_id, unnest(range(128))::INT, 0 FROM g WHERE len(g) = 0""")
 def minhash_md5(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "queries").where("question is not null")
-    return q.select("query_id", F.posexplode(dedup.minhash(text.words(F.col("question")), md5=True)).alias("slot", "v"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(dedup.minhash(text.words(F.col("text")), md5=True)).alias("slot", "v"))
 
 
 @query()
@@ -353,17 +359,17 @@ def parent_child(spark: SparkSession, d: str) -> DataFrame:
     return children.join(parents.select("parent_id", F.length("content").alias("parent_chars")), "parent_id")
 
 
-NATION_ROWS = "SELECT n_regionkey, list([concat(n_nationkey), n_name] ORDER BY n_nationkey) AS rows FROM nation GROUP BY n_regionkey"
+BRAND_ROWS = "SELECT p_brand, list([concat(p_partkey), p_name] ORDER BY p_partkey) AS rows FROM part GROUP BY p_brand"
 
 
-@query(f"""WITH t AS ({NATION_ROWS}), x AS (SELECT n_regionkey, 'key | name' AS head, list_transform(rows, lambda r: array_to_string(r, ' | ')) AS lines FROM t)
-SELECT concat('r', n_regionkey) AS doc_id, -1 AS row, concat('Table ', n_regionkey, chr(10), chr(10), head, chr(10), '----------', chr(10), array_to_string(lines, chr(10))) AS content FROM x
-UNION ALL SELECT concat('r', n_regionkey), CAST(i - 1 AS INT), concat('Table ', n_regionkey, chr(10), head, chr(10), lines[i]) FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM x)""")
+@query(f"""WITH t AS ({BRAND_ROWS}), x AS (SELECT p_brand, 'key | name' AS head, list_transform(rows, lambda r: array_to_string(r, ' | ')) AS lines FROM t)
+SELECT p_brand AS doc_id, -1 AS row, concat('Table of ', p_brand, chr(10), chr(10), head, chr(10), '----------', chr(10), array_to_string(lines, chr(10))) AS content FROM x
+UNION ALL SELECT p_brand, CAST(i - 1 AS INT), concat('Table of ', p_brand, chr(10), head, chr(10), lines[i]) FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM x)""")
 def table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
-    t = table(spark, d, "nation").groupBy("n_regionkey").agg(rows.alias("rows")).select(
-        F.concat(F.lit("r"), "n_regionkey").alias("doc_id"), F.lit(0).alias("table_ord"), F.lit("p1_t0").alias("table_id"), F.array(F.lit(1)).alias("pages"), F.array(F.lit("key"), F.lit("name")).alias("header"),
-        tables.clean_rows(F.col("rows")).alias("rows"), F.concat(F.lit("Table "), "n_regionkey").alias("caption_label"),
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda r: F.array(r["p_partkey"].cast("string"), r["p_name"]))
+    t = table(spark, d, "part").groupBy("p_brand").agg(rows.alias("rows")).select(
+        F.col("p_brand").alias("doc_id"), F.lit(0).alias("table_ord"), F.lit("p1_t1").alias("table_id"), F.array(F.lit(1)).alias("pages"), F.array(F.lit("key"), F.lit("name")).alias("header"),
+        tables.clean_rows(F.col("rows")).alias("rows"), F.concat(F.lit("Table of "), "p_brand").alias("caption_label"),
     )
     return tables.table_chunks(t).select("doc_id", "row", "content")
 
@@ -378,11 +384,17 @@ def column_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", F.round(tables.column_match(tables.column_signature(xs), tables.column_signature(ys)), 6).alias("overlap"))
 
 
-@query()
+# a fragment per brand and every third size, as page; a page that is missing in between ends a table
+FRAGMENTS = "SELECT p_brand AS doc_id, CAST(p_size / 3 AS INT) AS page, list([concat(p_partkey), p_name] ORDER BY p_partkey) AS cells FROM part WHERE p_size % 3 = 0 AND p_size % 15 <> 0 GROUP BY ALL"
+
+
+@query(f"""WITH f AS ({FRAGMENTS}), g AS (SELECT *, CASE WHEN page - lag(page) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS island FROM g)
+SELECT doc_id, concat('p', min(page), '_t', island) AS table_id, CAST(count(*) AS INT) AS n_pages, CAST(sum(len(cells)) AS INT) AS n_rows FROM i GROUP BY doc_id, island""")
 def stitched_tables(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.collect_list(F.array(F.col("n_nationkey").cast("string"), "n_name")))
-    f = table(spark, d, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 3).cast("int").alias("page")).agg(rows.alias("rows"))
-    f = f.select(F.concat(F.lit("r"), "n_regionkey").alias("doc_id"), (F.col("page") + 1).alias("page"), F.lit(0).alias("table_ord"), F.lit(10.0).alias("top"), F.lit(90.0).alias("bottom"), F.array(F.lit(72.0), F.lit(200.0)).alias("col_xs"), "rows")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda r: F.array(r["p_partkey"].cast("string"), r["p_name"]))
+    f = table(spark, d, "part").where("p_size % 3 = 0 and p_size % 15 <> 0").groupBy(F.col("p_brand").alias("doc_id"), (F.col("p_size") / 3).cast("int").alias("page")).agg(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), cells).alias("rows"))
+    f = f.select("doc_id", "page", F.lit(0).alias("table_ord"), F.lit(10.0).alias("top"), F.lit(90.0).alias("bottom"), F.array(F.lit(72.0), F.lit(200.0)).alias("col_xs"), "rows")
     return tables.stitch(f).select("doc_id", "table_id", F.size("pages").alias("n_pages"), F.size("rows").alias("n_rows"))
 
 
@@ -403,8 +415,7 @@ bm AS (SELECT query_id, doc_id, score, score / greatest(max(score) OVER (PARTITI
 @query(f"WITH {TOP_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    idf = retrieve.inverse_frequencies(retrieve.postings(docs, "doc_id", "text"), retrieve.corpus_stats(docs, "text"))
-    return idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.TermIndex.build(docs, "doc_id", "text").inverse_frequencies().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -412,9 +423,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    post, stats = retrieve.postings(docs, "doc_id", "text"), retrieve.corpus_stats(docs, "text")
-    s = retrieve.bm25_scores(_asked(spark, d), post, stats, retrieve.inverse_frequencies(post, stats), "doc_id")
+    s = retrieve.bm25_scores(_asked(spark, d), retrieve.TermIndex.build(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
     return s.withColumn("score", F.round("score", 8)).withColumn("norm", F.round("norm", 8))
 
 
@@ -503,9 +512,34 @@ def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
     return made["chunks"].select("doc_id", "page", "parent_id", "content", "start_char", "end_char", "section_heading", "doc_region")
 
 
-@query("SELECT query_id, coalesce(CASE WHEN length(question) > 0 THEN substr(question, 1, 50) END, 'New chat') AS title FROM queries")
+# chunks of all three kinds of the rendered pages, but for the first page of a document, which is a title page
+_MADE = f"SELECT *, concat('§', p_size, '.', p_partkey % 9 + 1, ' Section of ', p_name) AS heading FROM ({RENDER}) WHERE page_num > 1"
+_URIS = "[concat('https://parts.example/', p_partkey), concat('#', p_partkey)]"
+
+
+@query(f"""SELECT doc_id, page_num AS page, 'text' AS chunk_type, concat_ws(chr(10), concat(p_size, '.', p_partkey % 9 + 1, ' Section of ', p_name), concat('Figure ', p_size, '.1: View of ', p_name, '.'), concat('Table ', p_size, '-2: Data of ', p_type)) AS content,
+  heading AS section_heading, '' AS caption, array_to_string({_URIS}, ' ') AS links FROM ({_MADE})
+UNION ALL SELECT doc_id, page_num, 'table', concat('Table ', p_size, '-2', chr(10), chr(10), 'size | type', chr(10), '-----------', chr(10), p_size, ' | ', p_type), heading, concat('Data of ', p_type), array_to_string({_URIS}, ' ') FROM ({_MADE}) WHERE p_partkey % 5 = 0
+UNION ALL SELECT doc_id, page_num, 'table', concat('Table ', p_size, '-2', chr(10), 'size | type', chr(10), p_size, ' | ', p_type), heading, concat('Data of ', p_type), '' FROM ({_MADE}) WHERE p_partkey % 5 = 0
+UNION ALL SELECT doc_id, page_num, 'image', concat('Figure ', p_size, '.1', chr(10), chr(10), 'Drawing of ', p_name), heading, concat('View of ', p_name), '' FROM ({_MADE}) WHERE p_partkey % 4 = 0""")
+def assembled_chunks(spark: SparkSession, d: str) -> DataFrame:
+    p = structured_pages(spark, d)
+    at = p.select("doc_id", F.col("page_num").alias("page"), "p_partkey", "p_size", "p_name", "p_type")
+    edges = F.array(F.lit(72.0), F.when(F.col("page") % 2 == 0, 200.0).otherwise(400.0))  # tables of pages that follow each other don't match
+    rows = F.array(F.array(F.lit("size"), F.lit("type")), F.array(F.col("p_size").cast("string"), "p_type"))
+    fragments = at.where("p_partkey % 5 = 0").select("doc_id", "page", F.lit(0).alias("table_ord"), F.lit(10.0).alias("top"), F.lit(90.0).alias("bottom"), edges.alias("col_xs"), rows.alias("rows"))
+    images = at.where("p_partkey % 4 = 0").select("doc_id", "page", F.lit(1).alias("xref"), F.lit(300).alias("width"), F.lit(200).alias("height"), F.concat(F.lit("Drawing of "), "p_name").alias("description"))
+    links = at.select("doc_id", "page", F.posexplode(F.array(F.concat(F.lit("https://parts.example/"), "p_partkey"), F.concat(F.lit("#"), "p_partkey"))).alias("ord", "uri"))
+    made = assembled(p.select("doc_id", "page_num", "raw_text"), Settings(header_share=0.9), fragments, images, links)
+    return made["chunks"].select("doc_id", "page", "chunk_type", "content", "section_heading", "caption", F.array_join("links", " ").alias("links"))
+
+
+# the events of a user stand in for the messages of a chat
+@query("""SELECT user_id AS chat_id, substr(arg_min(concat(event_type, ': ', props), (ts, event_id)), 1, 50) AS title, count(*) AS n_messages, min(ts) AS created, max(ts) AS updated,
+  row_number() OVER (ORDER BY max(ts) DESC, user_id) AS place FROM events GROUP BY user_id""")
 def chat_list(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "queries").select("query_id", answer.chat_title(F.col("question")).alias("title"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("chat_id"), F.struct("ts", "event_id").alias("at"), "ts", F.concat("event_type", F.lit(": "), "props").alias("content"))
+    return answer.chats(e).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN epoch_ms(m) - epoch_ms(ts) < 86400000 THEN 'today' WHEN epoch_ms(m) - epoch_ms(ts) < 604800000 THEN 'previous 7 days' ELSE 'older' END AS bucket FROM events, (SELECT max(ts) AS m FROM events)) GROUP BY bucket")
@@ -520,17 +554,11 @@ def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
     return providers.embedded(chunks(spark, d).select("chunk_ord", "content"), "content").drop("content")
 
 
-@query("SELECT count(DISTINCT regexp_replace(coalesce(text, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS pages FROM documents")
+@query(f"SELECT DISTINCT sha256({_STRIP("coalesce(text, '')")}) AS text_hash FROM documents")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Documents as landed page files, taken in batches; each distinct text once."""
-    from ..plans.durable import ensure_checkpoint_dir
-    from ..sources.artefacts import Artefacts
-
-    ensure_checkpoint_dir(spark)
-    root = f"{ensure_checkpoint_dir(spark)}/ingest-{next(tempfile._get_candidate_names())}"
+    root = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), F.col("text").alias("raw_text")).repartition(4).write.parquet(f"{root}/landing")
     store = Artefacts(spark, root)
     ingest.ingest_stream(ingest.landing(spark, f"{root}/landing", files_per_trigger=2), ingest.append_new(store), f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(store.path("pages")).agg(F.count(F.lit(1)).alias("pages"))
-
-
+    return spark.read.parquet(store.path("pages")).select(F.sha2(text.strip(F.coalesce("raw_text", F.lit(""))), 256).alias("text_hash"))

@@ -85,13 +85,16 @@ def embedded(df: DataFrame, text_col: str, out: str = "embedding", embedder: Has
 
 @dataclass(frozen=True)
 class Retrying:
-    """Calls with pauses between them and up to ``tries`` attempts, waiting 2, 4, ... times ``pause``; failure gives "" ."""
+    """Calls with ``pace`` seconds before each and up to ``tries`` attempts, waiting 2, 4, ... times ``pause``; failure gives "" ."""
 
     call: Callable[..., str]
     tries: int = 3
     pause: float = 0.0
+    pace: float = 0.0
 
     def __call__(self, *args) -> str:
+        if self.pace:
+            time.sleep(self.pace)
         for i in range(self.tries):
             try:
                 return self.call(*args)
@@ -101,9 +104,9 @@ class Retrying:
         return ""
 
 
-def described(images: DataFrame, describe: Callable[[bytes], str], out: str = "description") -> DataFrame:
-    """Adds a description of each image (column ``data``)."""
-    call = Retrying(describe)
+def described(images: DataFrame, describe: Callable[[bytes], str], out: str = "description", pace: float = 0.0) -> DataFrame:
+    """Adds a description of each image (column ``data``); ``pace`` seconds pass between the calls of a task."""
+    call = Retrying(describe, pace=pace)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -112,6 +115,32 @@ def described(images: DataFrame, describe: Callable[[bytes], str], out: str = "d
     return images.withColumn(out, run("data"))
 
 
+def recognised(pages: DataFrame, recognise: Callable[[bytes], str], min_chars: int = 20) -> DataFrame:
+    """Adds ocr_text to the scanned pages (little text, some image) of rows with the page's picture in ``data``."""
+    from ..operators.structure import is_scanned
+
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda d: recognise(bytes(d)) if d is not None else None)
+
+    scanned = is_scanned(F.col("raw_text"), F.col("images"), min_chars)
+    return pages.withColumn("ocr_text", read(F.when(scanned, F.col("data"))))
+
+
+def offline_description(data: bytes) -> str:
+    """Stands in for a vision model."""
+    return f"Image of {len(data)} bytes." if data else ""
+
+
+EMBEDDERS: dict[str, Callable[[int], HashedEmbedder]] = {"hashed": HashedEmbedder}
+
+
+def get_embedder(name: str, dim: int) -> HashedEmbedder:
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedding provider: {name}")
+    return EMBEDDERS[name](dim)
+
+
 @dataclass
 class OfflineModel:
     """Answers with the first source's first sentence; stands in for a language model."""
