@@ -66,7 +66,7 @@ def is_page_number(line: str) -> bool:
     t = line.strip()
     if _PAGE.fullmatch(t):
         return True
-    return len(t) < 12 and any(map(str.isdigit, t)) and _PAGE.fullmatch(t.translate(_DIGIT_LIKE)) is not None
+    return any(map(str.isdigit, t)) and _PAGE.fullmatch(t.translate(_DIGIT_LIKE)) is not None
 
 
 def _line_hash(keys: list[str]) -> list[int]:
@@ -122,7 +122,7 @@ def _survey(chunks: DataFrame) -> DataFrame:
                 for t, is_scan, doc in zip(texts, scan.tolist(), part.column("doc").to_pylist(), strict=True):
                     if is_scan and t:
                         docs[doc] += 1
-                        found += [(doc, k) for k in {folded(x) for x in t.split("\n") if len(x) < 120} if k]
+                        found += [(doc, k) for k in {folded(x) for x in t.split("\n")} if k]
                 for (doc, _), h in zip(found, _line_hash([k for _, k in found]), strict=True):
                     lines[doc, h] += 1
         rows = [("word", w.replace("‐", "-").replace("‑", "-"), None, None, n, c) for w, n, c in words.values()]
@@ -159,7 +159,7 @@ def corrections(lex: DataFrame, ratio: int = 300, least: int = 3) -> DataFrame:
     plain = F.col("word")
     for a, b in LIGATURES.items():
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    words = lex.where("not contains(word, '-') and length(word) between 2 and 40").withColumn("plain", plain)
+    words = lex.where("not contains(word, '-')").withColumn("plain", plain)
     good = words.where(f"native >= {least} and word rlike '^[\\\\p{{L}}]+$' and word = plain").select(F.col("word").alias("fix"), F.col("native").alias("n"))
     power = lambda s: sum(ord(c) ** 5 for c in s)
     diffs: dict[int, int] = {0: 0}
@@ -197,7 +197,7 @@ def _sites(pages: DataFrame, suspects) -> DataFrame:
                 for i, (line, h) in enumerate(zip(lines, hashes, strict=True), 1):
                     if not line.strip():
                         continue
-                    if (len(line) < 120 and h in heads) or is_page_number(line):
+                    if h in heads or is_page_number(line):
                         rows.append((key, i, "edge", "", None))
                     else:
                         body.append((i, line))
