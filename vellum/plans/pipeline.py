@@ -82,10 +82,12 @@ def assembled(pages: DataFrame, settings: Settings, tables: DataFrame | None = N
         cleaned = structure.strip_edge_lines(cleaned.withColumn("raw_text", clean_text(F.col("raw_text"))), edges)
     else:
         edges, cleaned = None, cleaned.withColumn("text", F.coalesce("raw_text", F.lit("")))
-    cleaned = cleaned.select("doc_id", "page_num", strip("text").alias("text"), F.when(F.col("scanned"), "ocr").otherwise("native").alias("source"))
+    # pages are classed and cleaned once, though text, tables, images, headings and captions all read them
+    cleaned = cut(cleaned.select("doc_id", "page_num", strip("text").alias("text"), F.when(F.col("scanned"), "ocr").otherwise("native").alias("source")))
+    classed = cut(classed.drop("raw_text", "ocr_text", "data"))
     body = cleaned.where(structure.enough_text(F.col("text"), s.min_page_chars))
     scan = cleaned.select("doc_id", "page_num", F.col("text").alias("raw_text"))
-    heads, captions = structure.headings(scan), structure.captions(scan)
+    heads, captions = cut(structure.headings(scan)), cut(structure.captions(scan))
     native = classed.where("is_content and not scanned").select("doc_id", F.col("page_num").alias("page"))
 
     # text
