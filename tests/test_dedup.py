@@ -57,7 +57,7 @@ def test_near_dedup_equals_the_greedy_loop(spark):
                 t[rng.randrange(60)] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(t), rng.choice(["", "h"])))
     df = spark.createDataFrame(rows, "chunk_ord long, content string, section_heading string")
-    sig = {r.chunk_ord: r.s for r in df.select("chunk_ord", dedup.minhash(words(F.col("content"))).alias("s")).collect()}
+    sig = {r.chunk_ord: r.s for r in dedup.with_minhash(df.select("chunk_ord", words(F.col("content")).alias("t")), F.col("t"), "s").collect()}
     sim = {(i, j): sum(a == b for a, b in zip(sig[i], sig[j], strict=True)) / 128 for i in sig for j in sig if i < j}
     edges = {(r.a, r.b) for r in dedup.duplicate_edges(df).collect()}
     assert edges == {k for k, v in sim.items() if v >= 0.85}

@@ -80,33 +80,27 @@ def _affine_minima(hashes: pa.Array, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * n), pa.array(out.reshape(-1)))
 
 
-def minhash(tokens: Column, n: int = 128, k: int = 3, md5: bool = False) -> Column:
-    """n slots of 32 bits: minima over the k-shingles, of md5(shingle, slot number) or of multiply-shift hashes; zeros for no tokens.
+def minhash_md5(tokens: Column, n: int = 128, k: int = 3) -> Column:
+    """n slots of 32 bits: minima over the k-shingles of md5(shingle, slot number), all in Python; zeros for no tokens."""
 
-    The multiply-shift family hashes each shingle once, in the JVM; md5 hashes it n times, in Python.
-    """
-    if md5:
-
-        @F.pandas_udf("array<bigint>")
-        def signature(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: _md5_slots(t or "", n, k))
-
-        return signature(F.array_join(tokens, "\x00"))
+    @F.pandas_udf("array<bigint>")
+    def signature(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _md5_slots(t or "", n, k))
 
-    @F.arrow_udf("array<bigint>")
-    def minima(hashes: pa.Array) -> pa.Array:
-        return _affine_minima(hashes, n)
+    return signature(F.array_join(tokens, "\x00"))
 
-    return minima(F.transform(shingles(tokens, k), lambda g: F.xxhash64(g)))
 
+def with_minhash(df: DataFrame, tokens: Column, out: str = "signature", n: int = 128, k: int = 3) -> DataFrame:
+    """Adds n slots of 32 bits: minima over the k-shingles of multiply-shift hashes; zeros for no tokens.
 
-def _signed(df: DataFrame, n: int) -> DataFrame:
-    """The hashes of ``sig`` replaced by their n minima."""
+    Each shingle is hashed once, in the JVM; the minima are taken over whole Arrow batches.
+    """
+    df = df.withColumn(out, F.transform(shingles(tokens, k), lambda g: F.xxhash64(g)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("sig")
-            yield b.set_column(at, "sig", _affine_minima(b.column(at), n))
+            at = b.schema.get_field_index(out)
+            yield b.set_column(at, out, _affine_minima(b.column(at), n))
 
     return df.mapInArrow(run, df.schema)
 
@@ -133,10 +127,9 @@ def duplicate_edges(chunks: DataFrame, threshold: float = 0.85, n: int = 128, md
     removed first (``exact_dedup``): they are what makes buckets hot.
     """
     base = chunks.select(F.col(order_col).alias("i"), words(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    if md5:
-        s = cut(base.select("i", "tokens", minhash(F.col("tokens"), n, k, md5).alias("sig"), F.size("tokens").alias("n")))
-    else:
-        s = cut(_signed(base.select("i", *(["tokens"] if exact else []), F.size("tokens").alias("n"), F.transform(shingles(F.col("tokens"), k), lambda g: F.xxhash64(g)).alias("sig")), n))
+    kept = base.select("i", "tokens", F.size("tokens").alias("n"))
+    signed = kept.withColumn("sig", minhash_md5(F.col("tokens"), n, k)) if md5 else with_minhash(kept, F.col("tokens"), "sig", n, k)
+    s = cut(signed if exact else signed.drop("tokens"))
     bands = bands_for(threshold, n)
     edges = [n * j // bands for j in range(bands + 1)]
     key = F.array(*(F.struct(F.lit(j).alias("band"), F.xxhash64(F.slice("sig", edges[j] + 1, edges[j + 1] - edges[j])).alias("h")) for j in range(bands)))

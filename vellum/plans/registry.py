@@ -326,12 +326,13 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 h AS (SELECT doc_id, i, min(CAST('0x' || md5(encode(s) || unhex(printf('%04X', i)))[1:8] AS BIGINT)) AS v FROM (SELECT doc_id, unnest(g) AS s FROM g), (SELECT unnest(range(128)) AS i) GROUP BY ALL)
 SELECT doc_id, i::INT AS slot, v FROM h UNION ALL SELECT doc_id, unnest(range(128))::INT, 0 FROM g WHERE len(g) = 0""")
 def minhash_md5(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(dedup.minhash(text.words(F.col("text")), md5=True)).alias("slot", "v"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(dedup.minhash_md5(text.words(F.col("text")))).alias("slot", "v"))
 
 
 @query()
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", dedup.minhash(text.words(F.col("text"))).alias("signature"))
+    docs = table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("tokens"))
+    return dedup.with_minhash(docs, F.col("tokens")).select("doc_id", "signature")
 
 
 @query()
