@@ -1,11 +1,13 @@
 import shutil
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.config import Settings
 from vellum.plans.pipeline import IngestPipeline, QnAPipeline, assembled, health
-from vellum.sources import providers
+from vellum.operators import tables
+from vellum.sources import providers, uploads
 from vellum.sources.artefacts import Artefacts
 from vellum.streaming import ingest
 
@@ -165,3 +167,17 @@ def test_providers(spark, tmp_path):
         raise OSError
 
     assert providers.Retrying(fails)("x") == "" and len(tries) == 3
+    assert providers.in_request_order([{"index": 1, "embedding": "b"}, {"index": 0, "embedding": "a"}]) == ["a", "b"]
+
+
+def test_uploads(spark, tmp_path):
+    path = uploads.land(spark, str(tmp_path), b"%PDF \xff\x00", "application/pdf")
+    assert path.rsplit("/", 1)[-1].startswith("ingest_") and uploads.stored(spark, path) == b"%PDF \xff\x00"
+    with pytest.raises(uploads.UnsupportedMediaType):
+        uploads.land(spark, str(tmp_path), b"x", "text/plain")
+    assert len([p for p in tmp_path.iterdir() if p.suffix == ".pdf"]) == 1
+
+
+def test_plain_rows(spark):
+    t = spark.createDataFrame([("d", 0, "p1_t1", [1], [["a", "b"], ["c", "d"]])], "doc_id string, table_ord int, table_id string, pages array<int>, rows array<array<string>>")
+    assert [(r.row, r.content) for r in tables.plain_row_chunks(t).orderBy("row").collect()] == [(0, "a | b"), (1, "c | d")]

@@ -109,3 +109,9 @@ def table_chunks(tables: DataFrame, caption_col: str = "caption_label", keep: tu
     each = t.select(*base, label.alias("__label"), F.posexplode("rows").alias("row", "cells"))
     lines = each.select(*names, "row", F.concat_ws("\n", "__label", F.array_join("header", " | "), F.array_join("cells", " | ")).alias("content"))
     return whole.unionByName(lines).withColumn("chunk_type", F.lit("table"))
+
+
+def plain_row_chunks(tables: DataFrame) -> DataFrame:
+    """The older, simple form: one chunk per row of a table, its cells alone."""
+    each = tables.select("doc_id", "table_ord", "table_id", F.col("pages")[0].alias("page"), "pages", F.posexplode("rows").alias("row", "cells"))
+    return each.withColumn("content", F.array_join("cells", " | ")).drop("cells").withColumn("chunk_type", F.lit("table"))

@@ -70,6 +70,11 @@ class HashedEmbedder:
         return out / np.where(norm == 0, 1, norm)
 
 
+def in_request_order(responses: list[dict]) -> list:
+    """The embeddings of a service's answers (index, embedding), which may come in any order, in the order of the requests."""
+    return [r["embedding"] for r in sorted(responses, key=lambda r: r["index"])]
+
+
 def embedded(df: DataFrame, text_col: str, out: str = "embedding", embedder: HashedEmbedder | None = None, batch: int = 512) -> DataFrame:
     embedder = embedder or HashedEmbedder()
 
