@@ -104,7 +104,7 @@ def test_probit(spark):
 def test_inverse_normal_of_the_oracle():
     duckdb = pytest.importorskip("duckdb")
     for p in (1e-9, 0.01, 0.074, 0.3, 0.5, 0.93, 0.999):
-        assert duckdb.sql(f"SELECT {queries.inverse_normal_sql('p')} FROM (SELECT {p!r}::DOUBLE AS p)").fetchone()[0] == pytest.approx(NormalDist().inv_cdf(p), rel=1e-13, abs=1e-14)
+        assert duckdb.sql(f"SELECT {queries.inverse_normal_sql('p')} FROM (SELECT {p!r}::DOUBLE AS p)").fetchall()[0][0] == pytest.approx(NormalDist().inv_cdf(p), rel=1e-13, abs=1e-14)
 
 
 # --- 3: splitting ---
