@@ -186,6 +186,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.expanded(link, members).count() == 0
 
 
+def test_near_duplicates_keep_no_files_of_finished_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(300)]
+    df = spark.createDataFrame([(i, None, f"{t} tail{i}") for i, t in enumerate(texts * 2)], "chunk_ord long, section_heading string, content string")
+
+    def shuffled():
+        files, sizes = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), {}
+        while files.hasNext():
+            f = files.next()
+            if f.getName().startswith("shuffle_"):
+                sizes[f.getName()] = f.length()
+        return sizes
+
+    before, left, tables, octets = shuffled(), [], [], []
+    thinned, broadcast = neardup._thinned, spark.sparkContext.broadcast
+
+    def at_thinned(*args):
+        left.append(sum(n for name, n in shuffled().items() if name not in before))
+        return thinned(*args)
+
+    def at_broadcast(value):
+        tables.append(broadcast(value))
+        octets.append(os.path.getsize(tables[-1]._path))
+        return tables[-1]
+
+    monkeypatch.setattr(neardup, "_thinned", at_thinned)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", at_broadcast)
+    link, members = neardup.links(df, "chunk_ord", ["section_heading", "content"])
+    assert left[0] < 20_000  # 312,859 bytes while they waited for the garbage collector
+    assert octets[0] < 2**17 and not os.path.exists(tables[0]._path)  # the sketch has 2^18 counters
+    assert {(r.a, r.b) for r in neardup.expanded(link, members).collect()} == {(i, i + 300) for i in range(300)}
+
+
 @pytest.mark.parametrize("copies", ["pairs", "star"])
 def test_only_exact_copies_are_folded(spark, copies):
     # class 1: texts x (ids 1, 2, 3) and y (4, 5) of equal sets; class 10: two copies of another text

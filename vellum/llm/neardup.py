@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut, sweep
+from ..plans.durable import drop_shuffles, moved, release
 from . import sketch
 from .textkit import DIGIT, LETTER, TextBatch, map_texts, mix
 
@@ -145,7 +145,7 @@ def _postings(rows: DataFrame, spec: Spec, frequencies) -> DataFrame:
     """(token, sig, n, pos, b0, b1) of each class's prefix (its id as sig) under the first order, without tokens that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequencies.value
+        table = frequencies.value.table
         mask = np.uint64(len(table) - 1)
         seen: set[int] = set()
 
@@ -204,7 +204,7 @@ def _records(rows: DataFrame, ids: DataFrame, spec: Spec, frequencies) -> DataFr
     """(sig, tokens, prefix, pos) of the named records; ``prefix`` is that under the second order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequencies.value
+        table = frequencies.value.table
         mask = np.uint64(len(table) - 1)
 
         def one(part: pa.RecordBatch, b: TextBatch) -> pa.RecordBatch:
@@ -258,28 +258,31 @@ def links(df: DataFrame, key: str, texts: list[str], spec: Spec = Spec(), sketch
     rows = _words(df, key, texts)
     tokens = (rows.agg(F.sum(F.length("t")).alias("c")).first().c or 0) // CHARS_PER_TOKEN
     bits = sketch_bits or sketch.bits_for(tokens)
-    survey = cut(_survey(rows, spec, bits))
+    survey = moved(_survey(rows, spec, bits))
     spark = df.sparkSession
-    frequencies = spark.sparkContext.broadcast(sketch.collect(survey.where("block is not null").select("block", "data"), bits))
+    blocks = sketch.merged(survey.where("block is not null"))
+    frequencies = spark.sparkContext.broadcast(sketch.Packed(sketch.gathered(blocks, bits)))
+    drop_shuffles(blocks)
     # a class of equal sets goes by its lowest id from here on
     equal = survey.where("sig is not null").groupBy(F.col("sig").alias("same"), "id").agg(F.min("exact").alias("exact"))
     low = equal.groupBy("same").agg(F.min("id").alias("sig"))
-    members = equal.join(low, "same").select("sig", "id", "exact")
+    members = moved(equal.join(low, "same").select("sig", "id", "exact"))
     classes = survey.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.min("data").alias("parity"), F.min("n").alias("n")).select(F.col("id").alias("sig"), "parity", "n")
+    classes = moved(classes)
+    release(survey)
     copies = members.where("id <> sig").select("id")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sweep(spark)
     singles = rows.join(F.broadcast(copies) if few else copies, "id", "left_anti")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * (1 - spec.threshold)) // POSTINGS)
-    pairs = cut(_candidates(_postings(singles, spec, frequencies).repartition(parts, "token"), spec, parity=True))
-    sweep(spark)
-    pairs = cut(_thinned(pairs, classes, spec))
-    sweep(spark)
+    found = moved(_candidates(_postings(singles, spec, frequencies).repartition(parts, "token"), spec, parity=True))
+    pairs = moved(_thinned(found, classes, spec))
+    release(found, classes)
     left = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().select(F.col("sig").alias("id"), "sig")
-    records = cut(_records(_only(rows, left), left, spec, frequencies))
+    records = moved(_records(_only(rows, left), left, spec, frequencies))
+    frequencies.destroy(blocking=True)
     second = records.select("sig", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select(F.col("p.prefix").alias("token"), "sig", "n", F.col("p.pos").alias("pos"))
-    both = cut(pairs.join(_candidates(second, spec, parity=False), ["a", "b"]))
-    sweep(spark)
+    both = moved(pairs.join(_candidates(second, spec, parity=False), ["a", "b"]))
+    release(pairs)
     return _verify(both, records, spec), members
 
 
@@ -295,11 +298,13 @@ def _only(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
         for i, data in sketch.blocks(table):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
 
-    present = ids.sparkSession.sparkContext.broadcast(sketch.collect(ids.select("id").mapInArrow(build, "block int, data binary"), bits))
+    blocks = sketch.merged(ids.select("id").mapInArrow(build, "block int, data binary"))
+    present = ids.sparkSession.sparkContext.broadcast(sketch.Packed(sketch.gathered(blocks, bits)))
+    drop_shuffles(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(present.value[slot(batch.column("id"))] > 0))
+            yield batch.filter(pa.array(present.value.table[slot(batch.column("id"))] > 0))
 
     return rows.mapInArrow(run, "id long, t string")
 

@@ -53,11 +53,34 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block").slice(0, 1), "data": pa.array([packed], pa.binary())})
 
 
-def collect(parts: DataFrame, bits: int) -> np.ndarray:
-    """The table of 2^bits codes from rows (block, data); merged in two rounds, then one byte a counter is held by the driver."""
+class Packed:
+    """A table that is compressed wherever it is written, as a broadcast is by the driver and by every executor."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.table.tobytes(), 1)
+
+    def __setstate__(self, data: bytes) -> None:
+        self.table = np.frombuffer(zlib.decompress(data), np.uint8)
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One row (block, data) of each block from rows (block, data); in two rounds."""
     salted = parts.select("block", "data", F.pmod(F.xxhash64("data"), F.lit(16)).alias("salt"))
     once = salted.groupBy("block", "salt").applyInArrow(_merge, "block int, data binary")
+    return once.groupBy("block").applyInArrow(_merge, "block int, data binary")
+
+
+def gathered(blocks: DataFrame, bits: int) -> np.ndarray:
+    """The table of 2^bits codes from merged blocks; one byte a counter is held by the driver."""
     table = np.zeros(1 << bits, np.uint8)
-    for row in once.groupBy("block").applyInArrow(_merge, "block int, data binary").toLocalIterator():
+    for row in blocks.toLocalIterator():
         table[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = code(np.frombuffer(zlib.decompress(row.data), np.uint16))
     return table
+
+
+def collect(parts: DataFrame, bits: int) -> np.ndarray:
+    """The table of 2^bits codes from rows (block, data)."""
+    return gathered(merged(parts), bits)
