@@ -88,3 +88,20 @@ def test_empty_and_null(spark):
     assert dedup.near_dedup(df.limit(0)).count() == 0
     kept, rejected = dedup.split_by_quality(df.withColumn("chunk_type", F.lit("text")), 0.3)
     assert kept.count() == 3 and rejected.count() == 0
+
+
+def test_shingle_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    long = " ".join(f"t{i}" for i in range(102))
+    texts = [None, "", "a b", "A b", "a", long, " ".join(long.split()[:57]), *(" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_ord long, content string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set())
+    sim = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b}
+    for threshold in (0.55, 0.85):  # 0.55 * 100 is a little above 55 in floats, which must not lose the pair of 55 and 100 shingles
+        got = dedup.shingle_pairs(df, threshold)
+        assert {(r.a, r.b): r.similarity for r in got.collect()} == {k: v for k, v in sim.items() if v >= threshold}
+        assert "Generate" not in got._jdf.queryExecution().toString()  # no exchange of a row per shingle
+    assert dedup.shingle_pairs(df.limit(0), 0.85).count() == 0

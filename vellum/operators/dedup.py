@@ -8,6 +8,7 @@ the signatures is multiply-shift; the md5 family of the original behaviour is an
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import quality
 from ..functions.text import jaccard, shingles, strip, words
-from ..plans.durable import cut, release
+from ..plans.durable import cut, moved, release
 from .graph import components
 
 
@@ -209,19 +210,134 @@ def near_dedup(chunks: DataFrame, threshold: float = 0.85, text_col: str = "cont
     return chunks.join(dead.select(F.col("i").alias(order_col)), order_col, "left_anti")
 
 
-def shingle_pairs(chunks: DataFrame, threshold: float, text_col: str = "content", order_col: str = "chunk_ord", k: int = 3) -> DataFrame:
-    """(a, b, similarity) by exact Jaccard of k-shingles over all chunks, through an inverted index with prefix filter.
+#: Documents in pairs below which their ids are broadcast.
+BROADCAST_ROWS = 200_000
+#: Counters of the frequency sketch, as a power of two, and of a block in which they travel.
+SKETCH_BITS, BLOCK_BITS = (16, 25), 16
+
 
-    Shingles are ordered by frequency; sets that reach the threshold share one among the rarest n - ceil(t n) + 1.
+def _shingle_sets(joined: pa.Array, k: int, hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle): the distinct k-shingles of each row's tokens, joined by zero characters, sorted by row.
+
+    They are told apart by their tokens; what is returned are hashes of 64 bits or, not ``hashed``, numbers that equal
+    shingles of this array share.
     """
-    s = chunks.select(F.col(order_col).alias("i"), shingles(words(F.col(text_col)), k).alias("g")).where(F.size("g") > 0).withColumn("n", F.size("g"))
-    one = s.select("i", "n", F.explode("g").alias("s"))
-    df = one.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("i").orderBy("df", "s")
-    ranked = one.join(df, "s").withColumn("p", F.row_number().over(w)).where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).where("df > 1")
-    a, b = ranked.alias("a"), ranked.alias("b")
-    pairs = a.join(b, F.expr(f"a.s = b.s and a.i < b.i and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)")).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    x, y = s.select(F.col("i").alias("a"), F.col("g").alias("ga")), s.select(F.col("i").alias("b"), F.col("g").alias("gb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    joined = pc.fill_null(joined, "")
+    split = pc.split_pattern(joined, "\x00")
+    n = np.where(np.asarray(pc.binary_length(joined)) > 0, np.asarray(pc.list_value_length(split)), 0)
+    coded = pc.list_flatten(split.filter(pa.array(n > 0))).dictionary_encode()
+    padded = np.where(n > 0, np.maximum(n, k), 0)  # fewer than k tokens are filled up by zeros
+    row = np.repeat(np.arange(len(n)), padded)
+    place = np.arange(len(row)) - (np.cumsum(padded) - padded)[row]
+    codes = np.zeros(len(row), np.int64)
+    codes[place < n[row]] = np.asarray(coded.indices) + 1
+    at = np.flatnonzero(place <= padded[row] - k)
+    base = len(coded.dictionary) + 1
+    key, top = codes[at], base
+    for j in range(1, k):
+        if top * base >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            top = len(values)
+        key, top = key * base + codes[at + j], top * base
+    order = np.lexsort((key, row[at]))
+    at, key = at[order], key[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[at[1:]] != row[at[:-1]])
+    at, key = at[new], key[new]
+    if not hashed:
+        return row[at], key
+    words = np.array([0, *(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in coded.dictionary.to_pylist())], np.uint64)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ (h >> np.uint64(29)) ^ words[codes[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return row[at], h
+
+
+def _frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """2^bits counters of the shingles of ``docs`` (t: joined tokens) by their hashes, as 0, 1 or the logarithm of the count."""
+    block = 1 << min(bits, BLOCK_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            at, n = np.unique(_shingle_sets(b.column("t"), k)[1] >> np.uint64(64 - bits), return_counts=True)
+            table[at] += n.astype(np.uint32)
+        for i, part in enumerate(table.reshape(-1, block)):
+            if part.any():
+                part = np.minimum(part, 65_535).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "data"])
+
+    def total(group: pa.Table) -> pa.Table:
+        n = np.zeros(block, np.uint32)
+        for data in group.column("data"):
+            n += np.frombuffer(zlib.decompress(data.as_py()), np.uint16)
+        code = np.where(n > 1, 1 + np.ceil(4 * np.log2(np.maximum(n, 1))), n).astype(np.uint8)
+        return pa.table({"block": group.column("block").slice(0, 1), "data": pa.array([zlib.compress(code.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros((1 << bits) // block * block, np.uint8).reshape(-1, block)
+    for r in docs.select("t").mapInArrow(count, "block int, data binary").groupBy("block").applyInArrow(total, "block int, data binary").toLocalIterator():
+        out[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(docs: DataFrame, k: int, threshold: float, bits: int) -> DataFrame:
+    """(h, i, n, pos): hashes of the rarest n - ceil(t n) + 1 shingles of each row (i, t: joined tokens), but for those that occur once."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, h = _shingle_sets(b.column("t"), k)
+            n = np.bincount(row, minlength=b.num_rows)
+            often = sent.value[h >> np.uint64(64 - bits)]
+            order = np.lexsort((h, often, row))
+            pos = np.arange(len(order)) - (np.cumsum(n) - n)[row]
+            keep = (pos <= (n - np.ceil(threshold * n - 1e-9).astype(np.int64))[row]) & (often[order] > 1)
+            order, r = order[keep], row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), b.column("i").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["h", "i", "n", "pos"])
+
+    return docs.mapInArrow(run, f"h long, i {docs.schema['i'].dataType.simpleString()}, n int, pos int")
 
 
+def _similarities(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, similarity): Jaccard of the shingles of both joined token lists, ta and tb, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                b = batch.slice(at, 2_000)
+                row, key = _shingle_sets(pa.concat_arrays([b.column("ta"), b.column("tb")]), k, hashed=False)
+                size = np.bincount(row, minlength=2 * b.num_rows).reshape(2, -1).sum(0)
+                row %= b.num_rows
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                common = np.bincount(row[1:][(row[1:] == row[:-1]) & (key[1:] == key[:-1])], minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common / (size - common))], names=["a", "b", "similarity"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+
+
+def shingle_pairs(chunks: DataFrame, threshold: float, text_col: str = "content", order_col: str = "chunk_ord", k: int = 3) -> DataFrame:
+    """(a, b, similarity) by exact Jaccard of k-shingles over all chunks, through an inverted index with prefix filter.
+
+    Shingles are ordered by frequency; sets that reach the threshold share one among the rarest n - ceil(t n) + 1. Only
+    the hashes of these are exchanged, and the texts of chunks in a candidate pair, whose shingles are then compared as
+    they are. The frequencies come from a sketch that every task reads; shingles that share a counter or a hash are
+    ordered otherwise or give more candidates, but no pair is lost.
+    """
+    rows = chunks.select(F.col(order_col).alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    docs = rows.withColumn("t", F.array_join(words(F.col("t")), "\x00"))
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(size / 6, 1))), *SKETCH_BITS))  # about a counter for each word
+    posts = _prefixes(docs, k, threshold, bits)
+    a, b = posts.alias("a"), posts.alias("b")
+    need = f"ceil({threshold / (1 + threshold)!r}D * (a.n + b.n) - 1e-6)"
+    near = f"a.h = b.h and a.i < b.i and least(a.n, b.n) >= {threshold!r}D * greatest(a.n, b.n) - 1e-6 and a.pos <= a.n - {need} and b.pos <= b.n - {need}"
+    pairs = moved(a.join(b, F.expr(near)).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
+    few = F.broadcast(ids) if ids.count() < BROADCAST_ROWS else ids
+    own = rows.join(few, "i", "left_semi").withColumn("t", F.array_join(words(F.col("t")), "\x00"))
+    x, y = own.select(F.col("i").alias("a"), F.col("t").alias("ta")), own.select(F.col("i").alias("b"), F.col("t").alias("tb"))
+    return _similarities(pairs.join(x, "a").join(y, "b"), k).where(F.col("similarity") >= threshold)
