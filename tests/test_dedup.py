@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,16 @@ def test_shingle_pairs_equal_brute_force(spark):
         assert {(r.a, r.b): r.similarity for r in got.collect()} == {k: v for k, v in sim.items() if v >= threshold}
         assert "Generate" not in got._jdf.queryExecution().toString()  # no exchange of a row per shingle
     assert dedup.shingle_pairs(df.limit(0), 0.85).count() == 0
+
+
+def test_md5_minima_of_whole_batches():
+    rng = random.Random(2)
+    tokens = [[], ["a"], ["é", "b"], *([rng.choice(["a", "bé", "c" * rng.randint(1, 40)]) for _ in range(rng.randint(1, 30))] for _ in range(20))]
+
+    def slow(t, n, k=3):
+        grams = {" ".join(t[i : i + k]) for i in range(max(len(t) - k + 1, 1))} if t else set()
+        return [min((int.from_bytes(hashlib.md5(g.encode() + i.to_bytes(2, "big")).digest()[:4], "big") for g in grams), default=0) for i in range(n)]
+
+    grams = dedup._grams(pa.array(["\x00".join(t) for t in tokens] + [None]), 3)
+    for most in (7, 1_000_000):  # in many groups, and in one
+        assert dedup._md5_minima(grams, 40, most).to_pylist() == [slow(t, 40) for t in [*tokens, []]]

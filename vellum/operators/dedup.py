@@ -8,11 +8,11 @@ the signatures is multiply-shift; the md5 family of the original behaviour is an
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -45,20 +45,124 @@ def exact_dedup(chunks: DataFrame, text_col: str = "content", order_col: str = "
     return chunks.join(first.select(F.col("__first").alias(order_col)), order_col, "left_semi")
 
 
-def _md5_slots(text: str, n: int, k: int) -> list[int]:
-    tokens = text.split("\x00") if text else []
-    grams = {" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} or ({" ".join(tokens)} if tokens else set())
-    if not grams:
-        return [0] * n
-    salts = [i.to_bytes(2, "big") for i in range(n)]
-    best = [1 << 32] * n
-    for g in grams:
-        state = hashlib.md5(g.encode())
-        for i, s in enumerate(salts):
-            h = state.copy()
-            h.update(s)
-            best[i] = min(best[i], int.from_bytes(h.digest()[:4], "big"))
-    return best
+#: MD5's constants, rotations and order of message words.
+_MD5_K = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_R = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_MD5_G = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+_MD5_START = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+
+
+def _md5_block(texts: np.ndarray, slots: range) -> np.ndarray:
+    """[slot, text]: the first four digest bytes of md5(text, slot as two bytes) for texts of one length up to 53 bytes, rows of ``texts``.
+
+    Both fit one block of MD5. Steps before the slot's word depend on the text alone, those after the last change of
+    the first digest word are left out.
+    """
+    n, length = texts.shape
+    block = np.zeros((n, 64), np.uint8)
+    block[:, :length] = texts
+    block[:, length + 2], block[:, 56], block[:, 57] = 0x80, (length + 2) * 8 & 255, (length + 2) * 8 >> 8
+    own = np.ascontiguousarray(block.view("<u4").T).astype(np.uint32)
+    salt = np.zeros((len(slots), 64), np.uint8)
+    salt[:, length], salt[:, length + 1] = np.asarray(slots) >> 8, np.asarray(slots) & 255
+    salts = salt.view("<u4").astype(np.uint32)
+    salted = {length // 4, (length + 1) // 4}
+    constant = {w for w in range(16) if w * 4 > length + 2}  # but for the block's length, zeros
+    message = [int(own[w, 0]) if w in constant else salts[:, w, None] + own[w] if w in salted else own[w] for w in range(16)]
+    shape = (len(slots), n)
+    spare = [np.empty(shape, np.uint32) for _ in range(4)]
+    t, u = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
+    for i in range(61):
+        m = message[_MD5_G[i]]
+        flat = i < length // 4  # alike for all slots
+        f, v = (np.empty(n, np.uint32), np.empty(n, np.uint32)) if flat else (t, u)
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        f += a
+        if isinstance(m, int):
+            f += np.uint32((m + _MD5_K[i]) & 0xFFFFFFFF)
+        elif m.ndim == 1:
+            f += m + np.uint32(_MD5_K[i])
+        else:
+            f += m
+            f += np.uint32(_MD5_K[i])
+        np.right_shift(f, np.uint32(32 - _MD5_R[i]), out=v)
+        np.left_shift(f, np.uint32(_MD5_R[i]), out=f)
+        f |= v
+        out = np.empty(n, np.uint32) if flat else a if a.shape == shape and a.ndim == 2 else spare.pop()
+        np.add(f, b, out=out)
+        a, b, c, d = d, out, b, c
+    return (b + np.uint32(_MD5_START[0])).byteswap()
+
+
+def _md5_heads(texts: pa.Array, slots: range) -> np.ndarray:
+    """[slot, text]: the first four digest bytes of md5(text, slot as two bytes)."""
+    texts = texts.cast(pa.string())
+    size = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    start = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts)].astype(np.int64)
+    out = np.empty((len(slots), len(texts)), np.uint32)
+    order = np.argsort(size, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        length = size[same[0]]
+        for i in range(0, len(same), 512):  # arrays that stay in cache
+            part = same[i : i + 512]
+            own = data[start[part][:, None] + np.arange(length)]
+            if length <= 53:
+                out[:, part] = _md5_block(own, slots)
+                continue
+            for k, x in zip(part, own, strict=True):
+                state = hashlib.md5(x.tobytes())
+                for j, slot in enumerate(slots):
+                    h = state.copy()
+                    h.update(slot.to_bytes(2, "big"))
+                    out[j, k] = int.from_bytes(h.digest()[:4], "big")
+    return out
+
+
+def _grams(joined: pa.Array, k: int) -> pa.Array:
+    """Lists of the k-shingles of tokens joined by zero characters, repeated ones included; fewer tokens give one, none an empty list."""
+    joined = pc.fill_null(joined, "")
+    split = pc.split_pattern(joined, "\x00")
+    n = np.where(np.asarray(pc.binary_length(joined)) > 0, np.asarray(pc.list_value_length(split)), 0)
+    t = pc.list_flatten(split.filter(pa.array(n > 0)))
+    row = np.repeat(np.arange(len(n)), n)
+    m = max(len(t) - k + 1, 0)
+    inside = row[:m] == row[k - 1 : k - 1 + m]
+    runs = pc.binary_join_element_wise(*(t.slice(i, m) for i in range(k)), " ").filter(pa.array(inside))
+    short = (n > 0) & (n < k)
+    rows = np.concatenate([row[:m][inside], np.flatnonzero(short)])
+    flat = pa.concat_arrays([runs, pc.replace_substring(joined.filter(pa.array(short)), "\x00", " ")]).take(pa.array(np.argsort(rows, kind="stable")))
+    ends = np.cumsum(np.bincount(rows, minlength=len(n)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+
+
+def _md5_minima(grams: pa.Array, n: int, most: int = 1_000_000) -> pa.Array:
+    """For each list of shingles the n minima; zeros for an empty list. A shingle of several lists is hashed once.
+
+    Lists are taken in groups of about ``most`` shingles, and slots by 32, so what is held has a bound.
+    """
+    size = np.asarray(pc.fill_null(pc.list_value_length(grams), 0)).astype(np.int64)
+    flat = pc.list_flatten(grams)
+    out = np.zeros((len(size), n), np.int64)
+    ends = np.cumsum(size)
+    some = np.flatnonzero(size)
+    for group in np.split(some, np.flatnonzero(np.diff(ends[some] // most)) + 1) if len(some) else []:
+        first = ends[group[0]] - size[group[0]]
+        coded = flat.slice(first, ends[group[-1]] - first).dictionary_encode()
+        at, starts = np.asarray(coded.indices), ends[group] - size[group] - first
+        for low in range(0, n, 32):
+            slots = range(low, min(low + 32, n))
+            for j, row in zip(slots, _md5_heads(coded.dictionary, slots), strict=True):
+                out[group, j] = np.minimum.reduceat(row[at], starts)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * n), pa.array(out.reshape(-1)))
 
 
 def _affine_minima(hashes: pa.Array, n: int) -> pa.Array:
@@ -82,11 +186,14 @@ def _affine_minima(hashes: pa.Array, n: int) -> pa.Array:
 
 
 def minhash_md5(tokens: Column, n: int = 128, k: int = 3) -> Column:
-    """n slots of 32 bits: minima over the k-shingles of md5(shingle, slot number), all in Python; zeros for no tokens."""
+    """n slots of 32 bits: minima over the k-shingles of md5(shingle, slot number); zeros for no tokens.
+
+    The hashes of a batch's distinct shingles are computed together, in NumPy.
+    """
 
-    @F.pandas_udf("array<bigint>")
-    def signature(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _md5_slots(t or "", n, k))
+    @F.arrow_udf("array<bigint>")
+    def signature(joined: pa.Array) -> pa.Array:
+        return _md5_minima(_grams(joined, k), n)
 
     return signature(F.array_join(tokens, "\x00"))
 
