@@ -94,3 +94,11 @@ def test_stitching(spark):
     got = sorted((r.table_id, r.pages, len(r.rows)) for r in tables.stitch(f).collect())
     assert got == [("p1_t1", [1, 2], 4), ("p5_t2", [5], 1)]  # tables are counted through the document
     assert tables.table_chunks(tables.stitch(f)).count() == 2 + 5
+
+
+def test_links_meet_chunks_by_the_first_of_each_page(spark):
+    links = spark.createDataFrame([("d", p, i, f"u{p}-{i}") for p in (1, 2) for i in range(20)] + [("d", 3, 0, "x"), ("d", 3, 0, "x")], "doc_id string, page int, ord int, uri string")
+    chunks = spark.createDataFrame([("d", 1, [2, 1]), ("d", 2, [3, 3, 2]), ("d", 3, [4]), ("d", 4, None)], "doc_id string, chunk_id long, pages array<int>")
+    got = s.links_by_page(chunks, links)
+    assert {r.chunk_id: r.links for r in got.collect()} == {1: [f"u1-{i}" for i in range(5)], 2: [f"u2-{i}" for i in range(5)], 3: [], 4: []}
+    assert "row_number" in got._jdf.queryExecution().optimizedPlan().toString()  # not all links of a page with all its chunks

@@ -209,10 +209,16 @@ def link_kind(code: Column) -> Column:
 
 
 def links_by_page(chunks: DataFrame, links: DataFrame, most: int = 5) -> DataFrame:
-    """The first links on the pages of each chunk (doc_id, chunk_id, pages)."""
+    """The first links on the pages of each chunk (doc_id, chunk_id, pages).
+
+    Of each page only its first ``most`` links meet the chunks, since no other can be among the first of several pages.
+    """
     on = chunks.select("doc_id", "chunk_id", F.explode("pages").alias("page"))
     order = F.struct("page", "ord", "uri")
-    got = on.join(links, ["doc_id", "page"]).groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_set(order)).alias("l"))
+    w = Window.partitionBy("doc_id", "page").orderBy("ord", "uri")
+    first = links.select("doc_id", "page", "ord", "uri").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    of_page = first.groupBy("doc_id", "page").agg(F.collect_list(order).alias("l"))
+    got = on.join(of_page, ["doc_id", "page"]).groupBy("doc_id", "chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))).alias("l"))
     return chunks.join(got, ["doc_id", "chunk_id"], "left").withColumn("links", F.coalesce(F.slice(F.transform("l", lambda x: x["uri"]), 1, most), F.array().cast("array<string>"))).drop("l")
 
 
